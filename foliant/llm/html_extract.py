@@ -48,10 +48,14 @@ _WHITE = re.compile(r"\s+")
 _DIGITS = re.compile(r"[0-9]+")
 
 
+#: Why an element goes: by its tag or role, or by its names alone.
+HARD, SOFT = 1, 2
+
+
 class Element:
     __slots__ = ("tag", "names", "parent", "drop", "main", "parts", "hash")
 
-    def __init__(self, tag: str, names: str, parent: Element | None, drop: bool, main: bool):
+    def __init__(self, tag: str, names: str, parent: Element | None, drop: int, main: bool):
         self.tag, self.names, self.parent, self.drop, self.main = tag, names, parent, drop, main
         self.parts: list = []  # texts and elements, in order
         self.hash = 0
@@ -62,7 +66,7 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def parse(page: str) -> Element:
-    root = Element("#root", "", None, False, False)
+    root = Element("#root", "", None, 0, False)
     at, here, n = 0, root, len(page)
     while at < n:
         m = _TAG.search(page, at)
@@ -97,7 +101,9 @@ def parse(page: str) -> Element:
         role, names = attributes.get("role", "").lower(), f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
         hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         main = tag in ("article", "main") or role in ("main", "article")
-        drop = tag in _NEVER or role in _ROLES or hidden or tag == "header" and not here.main or bool(names and tag not in ("html", "body") and not (main and tag != "article") and _NAMES.search(names))
+        drop = HARD if tag in _NEVER or role in _ROLES or hidden or tag == "header" and not here.main else 0
+        if not drop and names and tag not in ("html", "body") and (not main or tag == "article") and _NAMES.search(names):
+            drop = SOFT
         element = Element(tag, names, here, drop, main)
         here.parts.append(element)
         if tag in _RAW:
@@ -125,12 +131,13 @@ def subtree_hashes(root: Element) -> list[Element]:
     return out
 
 
-def _mains(root: Element) -> list[Element]:
-    """The outermost article elements that are kept; of article within main, the articles."""
+def _mains(root: Element, through: int = 0) -> list[Element]:
+    """The outermost article elements that are kept; of article within main, the articles. through: SOFT looks into
+    elements that go by their names alone, too (a wrapper may be called has-sidebar)."""
     found, stack = [], [root]
     while stack:
         e = stack.pop()
-        if e.drop:
+        if e.drop and (e.main or e.drop != through):
             continue
         if e.main:
             inner = [] if e.tag == "article" else _mains_of(e)
@@ -141,7 +148,7 @@ def _mains(root: Element) -> list[Element]:
 
 
 def _mains_of(e: Element) -> list[Element]:
-    holder = Element("#part", "", None, False, False)
+    holder = Element("#part", "", None, 0, False)
     holder.parts = e.parts
     return [x for x in _mains(holder) if x.tag == "article"]
 
@@ -149,8 +156,8 @@ def _mains_of(e: Element) -> list[Element]:
 def text_of(root: Element, template: set[int] = frozenset()) -> str:
     if template:
         for e in subtree_hashes(root):
-            e.drop = e.drop or e.hash in template
-    mains = _mains(root)
+            e.drop = e.drop or (HARD if e.hash in template else 0)
+    mains = _mains(root) or _mains(root, SOFT)
     blocks: list[str] = []
     held: list[str] = []
 
