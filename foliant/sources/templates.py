@@ -39,9 +39,9 @@ def read_templates(spark: SparkSession, *roots: str) -> tuple[list[Template], li
     good: dict[tuple[str, ...], Template] = {}
     bad: list[tuple[str, str]] = []
     for root in roots:
-        files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.y{,a}ml").text(root)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{yml,yaml}").load(root)
         name = PurePosixPath(root.rstrip("/")).name
-        for path, text in files.select(F.col("_metadata.file_path"), "value").collect():
+        for path, text in files.select("path", F.decode("content", "UTF-8")).collect():
             rest = path.split(root.split("://")[-1].rstrip("/").lstrip("/"), 1)[-1].strip("/")
             parts = (name, *rest.split("/"))
             template, why = parse(parts, text)
