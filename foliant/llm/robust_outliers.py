@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 CORE, LEAST, STEPS, CUT = 0.75, 100, 4, 1 - 1e-9
-#: name, least deviation
-STATISTICS = (("x_words", 0.5), ("x_word_length", 0.35), ("x_symbols", 0.5), ("x_lines", 0.3), ("x_repeats", 0.3))
+#: name, least deviation: a repeated line or passage alone is no outlier, a symbol for every twenty letters is
+STATISTICS = (("x_words", 0.5), ("x_word_length", 0.35), ("x_symbols", 0.25), ("x_lines", 0.45), ("x_repeats", 0.45))
 _WHITE = r"[\x20\x09-\x0D]+"
 
 
