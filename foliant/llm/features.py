@@ -33,7 +33,23 @@ def _power(n: int, base: np.uint64, name: str) -> np.ndarray:
     return _powers[name][:n]
 
 
-class Texts:
+class Lines:
+    """Lines of texts: features and bytes of each line, lines of each text (one at least)."""
+
+    def __init__(self, features: np.ndarray, length: np.ndarray, n_lines: np.ndarray):
+        self.features, self.length, self.n_lines = features, length, n_lines
+        self.first_line = np.concatenate(([0], np.cumsum(n_lines)[:-1])).astype(np.int64)
+
+    def by_text(self, per_line: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(per_line, self.first_line, axis=0)
+
+    def means(self) -> np.ndarray:
+        """The line features of each text, weighted by line length."""
+        w = self.length[:, None]
+        return self.by_text(self.features * w) / self.by_text(w)
+
+
+class Texts(Lines):
     """Of a list of texts: their lines (\\n-split; an empty text has one) with features, and their words with hashes."""
 
     def __init__(self, texts: list[str | None]):
@@ -70,11 +86,3 @@ class Texts:
             np.minimum(2, full / some / 10), np.log1p(words) / 5, np.isin(last, [46, 33, 63]).astype(float),
         ], axis=1)
         self.words = words
-
-    def by_text(self, per_line: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(per_line, self.first_line, axis=0)
-
-    def means(self) -> np.ndarray:
-        """The line features of each text, weighted by line length."""
-        w = self.length[:, None]
-        return self.by_text(self.features * w) / self.by_text(w)

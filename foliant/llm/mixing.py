@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, written
-from .features import Texts
+from .features import LINE_FEATURES, Texts
+from .quality_crf import labelled_sample
 
 DOMAINS = ("clean", "junk", "toxic")
 #: Share of all words that each domain is to have in the mix.
@@ -47,15 +48,20 @@ def _presence(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return keys >> WORD_BITS, keys & ((1 << WORD_BITS) - 1)
 
 
-def _inputs(texts: list[str | None], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    t = Texts(texts)
+def _matrix(owner: np.ndarray, place: np.ndarray, words: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """One row for each text: which of the words it has, its line statistics, 1."""
     column = np.full(1 << WORD_BITS, -1, np.int32)
     column[words] = np.arange(len(words))
-    at = column[_places(t)]
+    at = column[place]
     used = at >= 0
-    x = np.zeros((len(texts), len(words)))
-    x[t.word_text[used], at[used]] = 1
-    return np.concatenate([x, 4 * t.means(), np.ones((len(texts), 1))], axis=1), t.by_text(t.words)
+    x = np.zeros((len(means), len(words)))
+    x[owner[used], at[used]] = 1
+    return np.concatenate([x, 4 * means, np.ones((len(means), 1))], axis=1)
+
+
+def _inputs(texts: list[str | None], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    t = Texts(texts)
+    return _matrix(t.word_text, _places(t), words, t.means()), t.by_text(t.words)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -63,34 +69,46 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(texts: list[str | None], domain: list[int]) -> Model:
-    if not texts:
-        return Model(np.zeros(0, np.int64), np.zeros((Texts([""]).features.shape[1] + 1, len(DOMAINS))))
-    y = np.eye(len(DOMAINS))[np.array(domain, int)]
-    owner, place = _presence(Texts(texts))
-    places, at = np.unique(place, return_inverse=True)
-    df = np.stack([np.bincount(at, y[owner, d], len(places)) for d in range(len(DOMAINS))], 1)
+def fit(found: list[np.ndarray], means: np.ndarray, domain: list[int]) -> Model:
+    """found: the places of each text's distinct words. means: its line statistics."""
+    k = len(DOMAINS)
+    if not found:
+        return Model(np.zeros(0, np.int64), np.zeros((len(LINE_FEATURES) + 1, k)))
+    y = np.eye(k)[np.array(domain, int)]
+    owner, place = np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate(found).astype(np.int64)
+    df = np.stack([np.bincount(place, y[owner, d], 1 << WORD_BITS) for d in range(k)], 1)
     n = y.sum(0)
-    total, share = df.sum(1), df.sum(1) / len(texts)
+    total, share = df.sum(1), df.sum(1) / len(found)
     spread = np.maximum(share * (1 - share), 1e-9)[:, None] * np.maximum(n, 1)
     tells = (((df - share[:, None] * n) ** 2) / spread).max(1) * (total >= 3)
-    words = np.sort(places[np.argsort(-tells, kind="stable")[:MAX_WORDS]])
-    x, _ = _inputs(texts, words)
-    w, m, v = np.zeros((x.shape[1], len(DOMAINS))), 0.0, 0.0
-    for k in range(1, 301):
-        g = x.T @ (_softmax(x @ w) - y) / len(texts) + 2e-4 * w
+    words = np.sort(np.argsort(-tells, kind="stable")[:MAX_WORDS])
+    words = words[tells[words] > 0]
+    x = _matrix(owner, place, words, means)
+    w, m, v = np.zeros((x.shape[1], k)), 0.0, 0.0
+    for step in range(1, 301):
+        g = x.T @ (_softmax(x @ w) - y) / len(found) + 2e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w = w - 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+        w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return Model(words, w)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
-    from .quality_crf import labelled_sample
-
+    """Executors turn the sample's texts into word places and line statistics; those alone reach the driver."""
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
     usable = labels.filter("toxic is not null and quality is not null").select("doc_id", domain.alias("domain"))
-    pairs = labelled_sample(docs, usable, "domain", max_docs)
-    return fit([p[0] for p in pairs], [p[1] for p in pairs])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            t = Texts(batch.column("text").to_pylist())
+            owner, place = _presence(t)
+            at = np.searchsorted(owner, np.arange(batch.num_rows + 1)).tolist()
+            places = [place[a:b].astype("<i4").tobytes() for a, b in zip(at, at[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(places, pa.binary()), pa.array([m.tobytes() for m in t.means().astype("<f8")], pa.binary())], names=["doc_id", "label", "places", "means"])
+
+    rows = labelled_sample(docs, usable, "domain", max_docs).mapInArrow(run, "doc_id long, label int, places binary, means binary").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["places"]), bytes(r["means"])))
+    means = np.frombuffer(b"".join(bytes(r["means"]) for r in rows), "<f8").reshape(len(rows), -1) if rows else np.zeros((0, 0))
+    return fit([np.frombuffer(bytes(r["places"]), "<i4") for r in rows], means, [r["label"] for r in rows])
 
 
 def with_posteriors(docs: DataFrame, model: Model) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .features import LINE_FEATURES, Texts
+from .features import LINE_FEATURES, Lines, Texts
 
 MAX_DOCS = 6000
 OUT = "doc_id long, held_out boolean, score double, predicted int"
@@ -44,7 +44,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def observations(t: Texts) -> np.ndarray:
+def observations(t: Lines) -> np.ndarray:
     """Of each line: its own features, those of its neighbours, whether it is first or last, and 1."""
     f, m = t.features, len(t.features)
     first, last = np.zeros(m, bool), np.zeros(m, bool)
@@ -100,17 +100,16 @@ def _fit_field(x: np.ndarray, y: np.ndarray, first: np.ndarray, n: np.ndarray, s
     return w, moves
 
 
-def shares(t: Texts, weights: np.ndarray, moves: np.ndarray) -> np.ndarray:
+def shares(t: Lines, weights: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """Length-weighted mean marginal of "good" of each text."""
     bad, _ = marginals(observations(t) @ weights, moves, t.first_line, t.n_lines)
     return 1 - t.by_text(bad * t.length) / t.by_text(t.length)
 
 
-def fit(texts: list[str | None], quality: list[int]) -> Model:
+def fit(t: Lines | None, quality: list[int]) -> Model:
     label = np.array(quality, int)
     if not len(label) or label.min() == label.max():
         return Model(np.zeros(_N), np.zeros((2, 2)), 0.0, 0.0, float(label.mean()) if len(label) else 0.5)
-    t = Texts(texts)
     x, owner = observations(t), np.repeat(np.arange(len(label)), t.n_lines)
     y = 1 - label[owner]
     w, moves = _fit_field(x, y, t.first_line, t.n_lines, None)
@@ -128,19 +127,31 @@ def fit(texts: list[str | None], quality: list[int]) -> Model:
     return Model(w, moves, slope, shift)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, max_docs: int) -> list[tuple[str, int]]:
-    """(text, label) of at most max_docs labelled rows outside the held-out third, in a fixed order. The choice is made
-    on labels and ids; the texts of the chosen documents alone reach the driver."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, max_docs: int) -> DataFrame:
+    """doc_id, label, text of at most max_docs labelled rows outside the held-out third, in a fixed order. The choice is
+    made on labels and ids alone."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).filter("doc_id is not null and label is not null").filter(~held_out(F.col("doc_id")))
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     chosen = chosen.join(known, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # max_docs rows of two numbers
-    return [(r["text"], r["label"]) for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["label"], r["text"] or ""))]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # max_docs rows of two numbers
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
-    pairs = labelled_sample(docs, labels, "quality", max_docs)
-    return fit([p[0] for p in pairs], [int(p[1] == 1) for p in pairs])
+    """Executors turn the sample's texts into line statistics; those alone reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            t = Texts(batch.column("text").to_pylist())
+            cut = lambda a: [a[i : i + n].astype("<f4").tobytes() for i, n in zip(t.first_line.tolist(), t.n_lines.tolist(), strict=True)]  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(cut(t.features), pa.binary()), pa.array(cut(t.length), pa.binary())], names=["doc_id", "label", "features", "length"])
+
+    rows = labelled_sample(docs, labels, "quality", max_docs).mapInArrow(run, "doc_id long, label int, features binary, length binary").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["features"]), bytes(r["length"])))
+    if not rows:
+        return fit(None, [])
+    join = lambda name: np.frombuffer(b"".join(bytes(r[name]) for r in rows), "<f4").astype(float)
+    lines = Lines(join("features").reshape(-1, len(LINE_FEATURES)), join("length"), np.array([len(r["length"]) // 4 for r in rows]))
+    return fit(lines, [int(r["label"] == 1) for r in rows])
 
 
 def scores(texts: list[str | None], model: Model) -> np.ndarray:
