@@ -20,7 +20,7 @@ _CHUNK = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c
 _PLAIN = re.compile(" ?[\x21-\x7e¡-ɏ‐-‧]*").fullmatch
 _SPACE = re.compile(r"(?!^ )\s").search
 #: Entries of each generation of each cache; the older of two goes when the younger is full.
-CACHE_ENTRIES = 160_000
+CACHE_ENTRIES = 280_000
 
 
 def _latin(kind: str) -> str:
@@ -84,7 +84,10 @@ class Encoder:
         elif len(parts) == 2 and has(parts[0], type="Split", behavior="Removed", invert=True) and has(parts[1], type="ByteLevel", add_prefix_space=False, use_regex=False):
             pattern = parts[0]["pattern"]["Regex"].replace("\\p{L}", letters).replace("\\p{N}", numbers)
             self.cut = re.compile(pattern).findall
-            self.normal, self._encode = self.tokenizer.normalizer.normalize_str, self._unspaced
+            # of plain words (_PLAIN) NFC changes none, and the usual normalizer leaves only their case to fold
+            steps = [(n["type"], n.get("pattern"), n.get("content")) for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+            usual = [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+            self.normal, self._encode = str.lower if steps == usual else self.tokenizer.normalizer.normalize_str, self._unspaced
             self.first = Cache(lambda w: self._word(w.decode()))
         else:
             self._encode = self._whole
@@ -107,7 +110,7 @@ class Encoder:
         elif word in ("", " "):
             raise _Odd
         pieces = self.pieces
-        return b"".join([pieces[p] for p in self.cut(word)])
+        return pieces[word] if word.removeprefix(" ").isalpha() else b"".join([pieces[p] for p in self.cut(word)])
 
     def _spaced(self, text: str) -> bytes:
         """For pieces that begin with the space before them."""
