@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import shuffle_partitions, slices, written
 from .components import Forest, connected_components
 
 BLOCK, TILE = 32768, 256
@@ -106,13 +106,13 @@ def links_between(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Iter
             if same and j < i:
                 continue
             cols = b[j * TILE : (j + 1) * TILE]
-            near = np.bitwise_count(rows[:, 0, None] ^ cols[None, :, 0]) <= radius
+            apart = np.bitwise_count(rows[:, 0, None] ^ cols[None, :, 0])
+            for k in range(1, width):
+                apart = np.add(apart, np.bitwise_count(rows[:, k, None] ^ cols[None, :, k]), dtype=np.uint16)
+            near = apart <= radius
             if same and i == j:
                 near = np.triu(near, 1)
-            x, y = np.nonzero(near)
-            if width > 1 and len(x):
-                keep = np.bitwise_count(rows[x] ^ cols[y]).sum(1, dtype=np.int64) <= radius
-                x, y = x[keep], y[keep]
+            x, y = np.nonzero(near) if near.any() else (np.zeros(0, int),) * 2
             if len(x):
                 yield x + i * TILE, y + j * TILE
 
@@ -167,7 +167,9 @@ def near_links(distinct: DataFrame, radius: int, width: int = 1, block: int = BL
 
     assert bits >= radius >= 0
     sheets = rows.select("fp", "node", number.alias("number")).groupBy("number").applyInPandas(gather, "cell long, number long, fps binary, nodes binary")
-    return sheets.groupBy("cell").applyInPandas(compare, "u long, v long")
+    # cells are small to move and long to compare, so their partitions are not to be put together by size
+    spread = sheets.repartition(shuffle_partitions(distinct.sparkSession), "cell")
+    return spread.groupBy("cell").applyInPandas(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, width: int = 1, radius: int = 4, seed: int = 42) -> DataFrame:
