@@ -115,15 +115,23 @@ def parse(page: str) -> Element:
 
 
 def subtree_hashes(root: Element) -> list[Element]:
-    """The elements outside articles, children before parents, each with the hash of its subtree (an article counts
-    as its tag alone)."""
-    stack, order = [root], []
+    """The elements outside articles that hold none, children before parents, each with the hash of its subtree."""
+    stack, order, holders = [root], [], set()
     while stack:
         e = stack.pop()
         order.append(e)
-        stack += [x for x in e.parts if isinstance(x, Element) and not x.main]
+        for x in e.parts:
+            if isinstance(x, Element) and not x.main:
+                stack.append(x)
+            elif isinstance(x, Element):  # all that the article is in can't be template
+                up = e
+                while up is not None and id(up) not in holders:
+                    holders.add(id(up))
+                    up = up.parent
     out = []
     for e in reversed(order):
+        if id(e) in holders:
+            continue
         said = [f"{e.tag}.{e.names}"] + [str(x.hash) if isinstance(x, Element) else _DIGITS.sub("0", _WHITE.sub(" ", x).strip()) for x in e.parts]
         e.hash = xxhash.xxh64_intdigest("\x1f".join(said)) - (1 << 63)
         if e.parts and e.tag not in ("#root", "html", "body"):

@@ -60,3 +60,10 @@ def test_articles_blocks_are_never_template(spark):
     rows = [(i, "http://a.nl", "<article><p>The same passage</p></article>") for i in range(40)]
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert {r["text"] for r in got.collect()} == {"The same passage"}
+
+
+def test_wrapped_articles_stay(spark):
+    wraps = ["<div id='content'>{}</div>", "<div><p>Constant</p><div class='x'>{}</div></div>", "<section><main>{}</main></section>"]
+    rows = [(100 * k + i, f"http://h{k}.nl/{i}", f"<body><div class='x1'>Join</div>{w.format(f'<article><p>Own {chr(97 + i)}</p></article>')}</body>") for k, w in enumerate(wraps) for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {100 * k + i: f"Own {chr(97 + i)}" for k in range(3) for i in range(20)}
