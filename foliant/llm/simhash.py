@@ -200,23 +200,101 @@ def _big_endian(name: str):
     return F.concat(word(1), *[F.when(F.length(name) > 8 * k, word(8 * k + 1)).otherwise(F.lit(b"")) for k in range(1, 4)])
 
 
-def one_of_each(docs: DataFrame, words: int = 5, width: int = 4, radius: int = 48) -> DataFrame:
-    """docs without near duplicates: of each class the row with the smallest (doc_id, hash of the text) stays.
+def _sets(docs: DataFrame, words: int, seed: int, carry: tuple[str, ...], width: int = 0) -> DataFrame:
+    """node (of the set of distinct shingles: a hash of it), the carried columns, and fp of the set or, without a
+    width, the sorted set itself (binary)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            nodes, out = [], []
+            for text in batch.column("text").to_pylist():
+                h = np.unique(shingle_hashes(text, words, seed)).astype("<u8", copy=False)
+                nodes.append(xxhash.xxh64_intdigest(h.tobytes(), seed) - (1 << 63))
+                out.append(np.array([majority(_mixed(h, k)) for k in range(width)], "<u8").tobytes() if width else h.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *(batch.column(c) for c in carry), pa.array(out, pa.binary())], names=["node", *carry, "fp" if width else "shingles"])
+
+    kinds = dict(docs.dtypes)
+    schema = "node long, " + "".join(f"`{c}` {kinds[c]}, " for c in carry) + ("fp binary" if width else "shingles binary")
+    return docs.select(*carry, "text").mapInArrow(run, schema)
+
+
+def alike(one: np.ndarray, others: list[np.ndarray], least: float) -> np.ndarray:
+    """Which of the others (sorted distinct hashes, none of them empty) have a Jaccard similarity of least with one."""
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    every = np.concatenate(others)
+    found = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+    both = np.add.reduceat(found, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return both >= least * (len(one) + sizes - both) - 1e-9
+
+
+def verified_links(members: DataFrame, radius: int, width: int, least: float, block: int = 2048) -> DataFrame:
+    """u, v: a spanning forest, for every pair of blocks, of the links within a component of candidates that have at
+    least that Jaccard similarity. members: a written table of component, node, fp, shingles, each node once.
+
+    Small components share a block; one of more than a block is dealt into several, and each pair of them is a cell.
+    Every pair within the radius is held against the sets, but for those that other links have joined already.
+    """
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
+    many = F.ceil(F.col("n") / block).cast("int")
+    packs = max(1, math.ceil((members.count() or 1) / block))
+    dealt = members.join(written(sizes, "sizes"), "component").withColumn("many", many)
+    mine = F.pmod(F.xxhash64("node"), F.col("many")).cast("int")
+    pack = F.when(F.col("many") == 1, F.pmod(F.xxhash64("component"), F.lit(packs))).otherwise(F.col("component"))
+    dealt = dealt.select("component", "node", "fp", "shingles", pack.alias("pack"), (F.col("many") > 1).alias("large"), mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("other"))
+    cells = dealt.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, of = pdf["node"].to_numpy("int64"), pdf["component"].to_numpy("int64")
+        fps = np.frombuffer(b"".join(pdf["fp"]), "<u8").reshape(-1, width)
+        sets = [np.frombuffer(x, "<u8") for x in pdf["shingles"]]
+        mine, classes = pdf["mine"].to_numpy(), Forest(len(nodes))
+        first = np.flatnonzero(mine == pdf["low"].iloc[0])
+        second = first if pdf["low"].iloc[0] == pdf["high"].iloc[0] else np.flatnonzero(mine == pdf["high"].iloc[0])
+        if not len(first) or not len(second):
+            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+        for x, y in links_between(fps[first], fps[second], radius, first is second):
+            x, y = first[x], second[y]
+            for i in np.unique(x).tolist():
+                j = y[x == i]
+                j = j[(of[j] == of[i]) & (classes.label[j] != classes.label[i])]
+                j = np.array([k for k in j.tolist() if len(sets[k])], np.int64)
+                if len(j) and len(sets[i]):
+                    j = j[alike(sets[i], [sets[k] for k in j.tolist()], least)]
+                    classes.add(np.full(len(j), i), j)
+        u, v = classes.stars(nodes)
+        return pd.DataFrame({"u": u, "v": v})
+
+    spread = cells.repartition(shuffle_partitions(members.sparkSession), "large", "pack", "low", "high")
+    return spread.groupBy("large", "pack", "low", "high").applyInPandas(compare, "u long, v long")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, width: int = 4, radius: int = 64, least: float = 0.8, seed: int = 42) -> DataFrame:
+    """docs without near duplicates: of each class the row with the smallest (doc_id, hash of the text) stays. Classes
+    are the components of the links between texts whose sets of distinct shingles have a Jaccard similarity of least.
 
-    Five-word shingles at a Jaccard similarity of 0.8 have a cosine of 2 * 0.8 / 1.8 = 0.889, an angle of 0.476, and
-    so about 256 * 0.476 / pi = 39 of 256 bits apart, give or take 6; radius 48 links nearly all pairs from there up.
+    Fingerprints only find the candidates. Sets at a Jaccard similarity of 0.8 have a cosine of 2 * 0.8 / 1.8 = 0.889
+    at least, an angle of 0.476, and so are about 256 * 0.476 / pi = 39 of 256 bits apart, give or take 6; a radius of
+    64 is four deviations from there. Each candidate link is then held against the sets themselves.
     """
     columns = docs.columns
     keyed = docs.select(*columns, F.xxhash64(*[c for c in columns if c != "doc_id"]).alias("row_tie"))
-    prints = written(fingerprints(keyed, words, width, carry=("row_tie",)), "fingerprints")
-    classes = with_components(prints, radius, width)
-    # a class without any doc_id is its fingerprint; a null sorts last
+    prints = written(_sets(keyed, words, seed, ("doc_id", "row_tie"), width), "fingerprints")
+    nodes = written(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min(F.struct("doc_id", "row_tie")).alias("row")), "nodes")
+    loose = connected_components(written(near_links(nodes.select("fp", "node"), radius, width), "candidates"))
+    # the sets of one row for each candidate
+    rows = nodes.join(loose, "node").select("node", "fp", "component", F.col("row.doc_id").alias("first_id"), F.col("row.row_tie").alias("first_tie"))
+    rows = written(rows, "candidate-rows")
+    same_row = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("row_tie") == F.col("first_tie"))
+    texts = keyed.select("doc_id", "row_tie", "text").join(rows.select("first_id", "first_tie"), same_row, "left_semi").dropDuplicates(["doc_id", "row_tie"])
+    sets = _sets(texts, words, seed, ())
+    members = written(rows.select("component", "node", "fp").join(sets, "node"), "members")
+    links = written(verified_links(members, radius, width, least), "links")
+    classes = prints.join(connected_components(links), "node", "left").withColumn("class", F.coalesce("component", "node"))
+    # a null sorts last
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_tie")
-    key = F.coalesce(F.col("component_id").cast("string"), F.hex("fp"))
-    firsts = classes.groupBy(key.alias("class")).agg(F.min(rank).alias("first")).select("first.doc_id", "first.row_tie")
+    firsts = classes.groupBy("class").agg(F.min(rank).alias("first")).select("first.doc_id", "first.row_tie")
     firsts = written(firsts, "firsts")
     twins = written(prints.groupBy("doc_id", "row_tie").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("twin_id"), F.col("row_tie").alias("twin_tie")), "twins")
-    same = lambda a, b: F.col("doc_id").cast("long").eqNullSafe(F.col(a)) & (F.col("row_tie") == F.col(b))
+    same = lambda a, b: F.col("doc_id").eqNullSafe(F.col(a)) & (F.col("row_tie") == F.col(b))
     chosen = keyed.join(firsts.withColumnsRenamed({"doc_id": "first_id", "row_tie": "first_tie"}), same("first_id", "first_tie"), "left_semi")
     if twins.isEmpty():
         return chosen.select(*columns)

@@ -228,6 +228,29 @@ def test_one_of_each_keeps_columns_and_one_row(docs, rows):
     assert all(i is None or ((dict((a, b) for a, b, *_ in rows)[i] or "").strip() == "" or texts[dict((a, b) for a, b, *_ in rows)[i]] == i) for i in ids)
 
 
+def test_one_of_each_links_by_the_exact_likeness_of_sets(spark):
+    r = random.Random(8)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for k in range(60):  # likenesses around 0.8, on either side
+        base, cut = words(220), 14 + k % 14
+        texts += [base, base[: 220 - cut] + words(cut)]
+    base, line = words(200), words(10)
+    texts += [base, base + line * 10, *[line * 30 + words(40) for _ in range(4)]]
+    # alike within a hub's reach but not with one another, and a group of near copies over several blocks
+    hub = words(300)
+    texts += [hub, hub[30:] + words(30), hub[:-30] + words(30)] + [hub[:150] + words(1) + hub[151:] for _ in range(30)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    want = plain_components(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {x["doc_id"] for x in simhash.one_of_each(table).collect()} == set(want.values())
+    split = spark.createDataFrame([(0, i, np.zeros(4, "<u8").tobytes(), np.unique([hash(x) & (1 << 63) - 1 for x in s]).astype("<u8").tobytes()) for i, s in enumerate(sets)], "component long, node long, fp binary, shingles binary")
+    from foliant.llm.components import connected_components
+
+    links = simhash.verified_links(split, 64, 4, 0.8, block=16)
+    assert {x["node"]: x["component"] for x in connected_components(links).collect()} == {a: b for a, b in want.items() if list(want.values()).count(b) > 1}
+
+
 def plain_lz(data):
     known, out, start = set(), [], 0
     for end in range(1, len(data) + 1):
