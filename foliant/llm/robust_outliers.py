@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-CORE, LEAST, STEPS, CUT = 0.75, 100, 4, 1 - 1e-9
-#: name, least deviation: a repeated line or passage alone is no outlier, a symbol for every twenty letters is
-STATISTICS = (("x_words", 0.5), ("x_word_length", 0.35), ("x_symbols", 0.25), ("x_lines", 0.45), ("x_repeats", 0.45))
+CORE, LEAST, STEPS, CUT = 0.75, 100, 4, 0.9999
+#: name, least deviation: each statistic can pass the cut (a distance of 5.07) alone within the base rules (x_lines is at
+#: most log 11, x_repeats log 6), while one line of three that is repeated is no outlier
+STATISTICS = (("x_words", 0.5), ("x_word_length", 0.35), ("x_symbols", 0.25), ("x_lines", 0.4), ("x_repeats", 0.33))
 _WHITE = r"[\x20\x09-\x0D]+"
 
 

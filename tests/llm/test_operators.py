@@ -315,6 +315,27 @@ def test_distances_match_numpy(spark):
 def test_chi_square():
     assert abs(robust_outliers.chi_square(0.95, 5) - 11.0705) < 1e-3 and abs(robust_outliers.chi_square(0.5, 2) - 1.3863) < 1e-3
 
+def test_each_statistic_can_reject(spark):
+    r = random.Random(12)
+    fresh = lambda n, size=5: ["".join(r.choices("abcdefghijklmnop", k=size)) for _ in range(n)]
+    lines = lambda words, n=20: "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+    few, passage, line = fresh(20), fresh(98), " ".join(fresh(9))
+    odd = {
+        "words": lines(fresh(3000)),
+        "word_length": lines(fresh(120, 9)),
+        "symbols": lines([w + "#" for w in fresh(120)]),
+        "lines": "\n".join(r.choice(few) for _ in range(400)),
+        "repeats": lines(passage + fresh(102)) + "\n" + " ".join(passage + fresh(102)),
+    }
+    kept = {"normal": lines(fresh(110)), "one line of three twice": "\n".join([line, " ".join(fresh(110)), line])}
+    texts = [*odd.values(), *kept.values(), *[lines(fresh(r.randint(90, 130))) for _ in range(300)]]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    got = {x["doc_id"]: x for x in robust_outliers.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i]["base_failed"] for i in range(len(odd) + len(kept)))
+    assert {k: got[i]["kept"] for i, k in enumerate([*odd, *kept])} == {**dict.fromkeys(odd, False), **dict.fromkeys(kept, True)}
+    assert sum(x["kept"] for x in got.values()) >= 300
+
+
 
 BASE = (("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 12), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16))
 
