@@ -6,8 +6,14 @@ which join the worklist unless a layer of the same content and place was met bef
 the fixpoint: when no layer yields another. Each layer carries, for every character, the span of the original text it
 came from, so a match at any depth is reported as a span of the original.
 
+Base64 is read in either alphabet, across line breaks, and from any place of a run: plain content at all four phases,
+compressed content from wherever its first bytes are. What it holds is read byte for byte (Latin-1), as every kind and
+escape is ASCII. Compressed content is inflated through all its members and whatever follows them, in pieces of about
+PIECE characters that are scanned one after another, so a bomb costs time and not memory; a piece never ends within a
+word, wrapped base64 or an assignment, which are held whole.
+
 Base kinds, leftmost and non-overlapping within a kind, are found in the first layer as they stand; decoded layers
-only add spans. A clean text pays three searches. Inflating stops at INFLATE_LIMIT bytes (a parameter), against bombs.
+only add spans. A clean text pays three searches.
 
 Null or empty text: no spans. Repeated rows: each alike. Empty table: no rows. Extra columns: kept by redact() and not
 read by scan().
@@ -16,11 +22,10 @@ read by scan().
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
+import itertools
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +41,15 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # a run of 16 or more is a run whose length passes
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+_BREAK = r"[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t>]*+"
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")
-INFLATE_LIMIT = 1 << 26
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{{4,}}+{_BREAK})+[A-Za-z0-9+/_-]++={{0,2}}")
+_BREAKS = re.compile(_BREAK)
+_ALPHABETS = re.compile(r"[A-Za-z0-9+/]{22,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{22,}={0,2}")
+_LINE64 = re.compile(r"[A-Za-z0-9+/_=-]+").fullmatch
+#: Base64 of the first bytes of gzip, and of zlib at its usual levels.
+_PACKED = re.compile(r"H4sI|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]")
+PIECE, FEED = 1 << 20, 1 << 16
 OUT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 Span = tuple[int, int, int]  # start, end, place of the kind in KINDS
@@ -94,40 +106,148 @@ def _escape(m: re.Match) -> str | None:
     return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _inflated(raw: bytes, limit: int) -> bytes | None:
-    for wbits, magic in ((31, b"\x1f\x8b"), (15, b"\x78")):
-        if raw.startswith(magic):
+def _magic(raw: bytes) -> int:
+    return 31 if raw.startswith(b"\x1f\x8b") else 15 if raw[:2] in (b"x\x01", b"x\x5e", b"x\x9c", b"x\xda") else 0
+
+
+def _fed(d, data: bytes) -> Iterator[bytes]:
+    """The pieces that come of data."""
+    while not d.eof:
+        out = d.decompress(data, FEED)
+        data = d.unconsumed_tail
+        if out:
+            yield out
+        if not data and len(out) < FEED:
+            return
+
+
+def _members(chunks: Iterator[bytes], rest: bool) -> Iterator[bytes]:
+    """One level of inflating: all members and, if asked for, as it is what follows them or can't be inflated."""
+    d, head = None, b""
+    for chunk in chunks:
+        data = head + chunk
+        head = b""
+        while data:
+            if d is None:
+                if len(data) < 2 and data in (b"\x1f", b"x"):
+                    head = data
+                    break
+                if not (wbits := _magic(data)):
+                    if rest:
+                        yield data
+                        yield from chunks
+                    return
+                d = zlib.decompressobj(wbits)
+            before = d.copy()
             try:
-                return zlib.decompressobj(wbits).decompress(raw, limit)
+                yield from _fed(d, data)
             except zlib.error:
-                return None
-    return None
-
-
-def unwrap64(run: str, limit: int = INFLATE_LIMIT) -> str | None:
-    """What a base64 run holds, if that is text: itself, or inflated, as often as it is compressed."""
+                # what came before the fault, byte by byte, and the rest as it is
+                for k in range(len(data)):
+                    try:
+                        yield from _fed(before, data[k : k + 1])
+                    except zlib.error:
+                        break
+                if rest:
+                    yield data
+                    yield from chunks
+                return
+            data, d = (d.unused_data, None) if d.eof else (b"", d)
+    if head and rest:
+        yield head
+
+
+def inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Compressed bytes inflated as often as they are compressed, in pieces; what reproduces itself is inflated once.
+    What is not compressed at the outermost level is left out: it has been read as it is."""
+    met: set = set()
+    while True:
+        first = b""
+        for chunk in chunks:
+            first += chunk
+            if len(first) >= 2:
+                break
+        mark = hashlib.sha1(first).digest()
+        chunks = itertools.chain([first], chunks)
+        if not _magic(first) or mark in met:
+            return chunks
+        met.add(mark)
+        chunks = _members(chunks, bool(met - {mark}))
+
+
+def _texts(chunks: Iterator[bytes], piece: int) -> Iterator[str]:
+    """The bytes as texts of about a piece. None ends within a word, lines of base64, or before what is assigned."""
+    held, parts, size = "", [], 0
+    for chunk in chunks:
+        parts.append(chunk.decode("latin-1"))
+        size += len(chunk)
+        if size < max(piece, len(held)):
+            continue
+        text = held + "".join(parts)
+        parts, size = [], 0
+        cut = max(text.rfind(c) for c in " \t\r\n\0") + 1
+        while cut and _LINE64(text[(before := text.rfind("\n", 0, cut - 1) + 1) : cut].strip() or " "):
+            cut = before
+        cut = max(0, len(text[:cut].rstrip(" :=\"'")) - 64)
+        if cut:
+            yield text[: max(cut + 64, 1)]
+        held = text[cut:]
+    if held or parts:
+        yield held + "".join(parts)
+
+
+def unwrap64(run: str, piece: int = PIECE) -> Iterator[tuple[int, str]]:
+    """Texts that a base64 run may hold, each with the place in the run where it begins."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    try:
-        raw = base64.b64decode(body[: len(body) - (len(body) % 4 == 1)] + "=" * (-len(body) % 4 % 3), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    while (more := _inflated(raw, limit)) is not None:
-        raw = more
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\n\r\t" for c in text) >= 0.95 * len(text) else None
-
-
-def find(text: str | None, limit: int = INFLATE_LIMIT) -> tuple[list[Span], list[Span]]:
+    decoded = lambda part: base64.b64decode(part[: len(part) - (len(part) % 4 == 1)] + "=" * (-len(part) % 4 % 3))
+    for k in range(4):
+        yield 0, decoded(body[k:]).decode("latin-1")
+    for m in _PACKED.finditer(body):
+        chunks = (decoded(body[k : k + FEED]) for k in range(m.start(), len(body), FEED))
+        for text in _texts(inflated(chunks), piece):
+            yield m.start(), text
+
+
+def _runs(text: str) -> Iterator[tuple[str, np.ndarray | int]]:
+    """The base64 runs of a text, with the place of their first character, or, if wrapped, of each character."""
+    for m in _BASE64.finditer(text):
+        run, at = m[0], m.start()
+        parts = {x.span() for alphabet in _ALPHABETS for x in alphabet.finditer(run)} | {(0, len(run))}
+        yield from ((run[a:b], at + a) for a, b in sorted(parts))
+    for m in _WRAPPED.finditer(text):
+        breaks = [x.span() for x in _BREAKS.finditer(m[0])]
+        keep = np.ones(len(m[0]), bool)
+        for a, b in breaks:
+            keep[a:b] = False
+        run, at = "".join(itertools.compress(m[0], keep)), np.flatnonzero(keep) + m.start()
+        if len(run) < 22:
+            continue
+        parts = {x.span() for alphabet in _ALPHABETS for x in alphabet.finditer(run)} | {(0, len(run))}
+        yield from ((run[a:b], at[a:b]) for a, b in sorted(parts))
+
+
+def _unwrapped(layer: Layer, run: str, at: np.ndarray | int, piece: int) -> Iterator[Layer]:
+    for k, inner in unwrap64(run, piece):
+        a, b = layer.origin(*((at + k, at + len(run)) if isinstance(at, int) else (int(at[k]), int(at[-1]) + 1)))
+        yield Layer(inner, np.broadcast_to(np.int64(a), len(inner)), np.broadcast_to(np.int64(b), len(inner)))
+
+
+def _inner(layer: Layer, piece: int) -> Iterator[Layer]:
+    for run, at in _runs(layer.text):
+        yield from _unwrapped(layer, run, at, piece)
+
+
+def find(text: str | None, piece: int = PIECE) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans: both sorted by start, then kind."""
     if not text:
         return [], []
     base = base_spans(text)
-    work, seen, found = deque([Layer(text)]), set(), set(base)
+    work, seen, found = [iter([Layer(text)])], set(), set(base)
     while work:
-        layer = work.popleft()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         if layer.starts is not None:
             mark = (hashlib.sha1(layer.text.encode("utf-8", "replace")).digest(), int(layer.starts.min(initial=0)), int(layer.ends.max(initial=0)))
             if mark in seen:
@@ -135,13 +255,10 @@ def find(text: str | None, limit: int = INFLATE_LIMIT) -> tuple[list[Span], list
             seen.add(mark)
             found.update((*layer.origin(a, b), k) for a, b, k in base_spans(layer.text))
         if "%" in layer.text and (child := layer.replaced(_PERCENT, _percent)):
-            work.append(child)
+            work.append(iter([child]))
         if ("\\" in layer.text or "&#" in layer.text) and (child := layer.replaced(_UNICODE, _escape)):
-            work.append(child)
-        for m in _BASE64.finditer(layer.text):
-            if (inner := unwrap64(m[0], limit)) is not None:
-                a, b = layer.origin(*m.span())
-                work.append(Layer(inner, np.full(len(inner), a), np.full(len(inner), b)))
+            work.append(iter([child]))
+        work.append(_inner(layer, piece))
     order = lambda s: (s[0], s[2], s[1])
     return sorted(base, key=order), sorted(found, key=order)
 

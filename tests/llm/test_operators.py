@@ -389,6 +389,40 @@ def test_quality_field(spark, docs, none):
     rows = [(i, bad(r) if i % 3 == 0 else good(r)) for i in range(600)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(600)] + [(None, 1, 0), (9999, 0, 0)], "doc_id long, quality int, toxic int")
+def test_secrets_behind_and_across():
+    import base64
+    import gzip
+
+    r = random.Random(6)
+    secret = b'token = "abcdefghijkl1234"'
+    noise = lambda n: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(n)).encode()
+    in64 = lambda b: base64.b64encode(b).decode()
+    wrapped = lambda b, n=76: "\n".join(re.findall(f".{{1,{n}}}", in64(b)))
+    body = noise(300) + b"\n" + secret
+    hidden = {
+        "second member": in64(gzip.compress(noise(3)) + gzip.compress(secret)),
+        "after a member": in64(zlib.compress(noise(3)) + secret),
+        "wrapped gzip": wrapped(gzip.compress(body)),
+        "wrapped zlib": "see below\n" + wrapped(zlib.compress(body), 64),
+        "across a break": wrapped(b"x" * 44 + secret + b"y" * 44),
+        "path": f"https://h.example/path/{in64(secret)}",
+        "key_": f"key_{in64(secret)}",
+        "key-": f"ab-{in64(gzip.compress(secret))}",
+        "urlsafe": f"a/{base64.urlsafe_b64encode(b'???>>>' + secret + b'~~~').decode()}",
+        "not text": in64(b"\xff\xfe\x00\x01" * 30 + secret),
+        "not text, packed": in64(gzip.compress(b"\x00\xff" * 300 + secret)),
+        "faulty": in64(gzip.compress(noise(20) + secret)[:-8] + b"12345678"),
+    }
+    for name, text in hidden.items():
+        assert secret_scan.find(f"before {text} after")[1], name
+        assert secret_scan.find(f"before {text} after", 64)[1], name
+    for k in range(40):  # behind many pieces, at every place of their ends, and as base64 within
+        for inner in (secret, in64(secret).encode(), wrapped(gzip.compress(body)).encode()):
+            assert secret_scan.find(in64(gzip.compress(noise(200) + b"z" * k + b"\n" + inner + b"\n" + noise(50))), 256)[1], k
+    late = in64(gzip.compress(b"0123 ghi\n" * (8 << 20) + secret))  # 72 MiB before it
+    assert (0, len(late), 0) in secret_scan.find(late)[1]
+
+
     got = quality_crf.score(table, labels).collect()
     out = [g for g in got if g["held_out"]]
     assert all(g["held_out"] == (zlib.crc32(str(g["doc_id"]).encode()) % 3 == 1) for g in got)
