@@ -4,7 +4,8 @@ BPE never merges across the pieces of the pre-tokenizer, so a text's ids are the
 wherever a word is certain to end a piece: at a single white space between others. A word seen before costs one
 dictionary look-up; an unseen one is cut into the pre-tokenizer's pieces, and unseen pieces go to the library's BPE
 model. Words with characters beyond Latin letters and common punctuation go to the library's whole encode() instead,
-so that no difference between Unicode tables can matter, and so do texts with runs of white space.
+so that no difference between Unicode tables can matter, and so do texts with runs of white space. Texts that hold an
+added token (<|endoftext|>) as text go there whole, as the library finds those before all else.
 """
 
 from __future__ import annotations
@@ -60,14 +61,19 @@ class _Odd(Exception):
 
 
 class Encoder:
-    """encode() gives a whole text's ids as little-endian unsigned 32-bit integers."""
+    """encode() gives a whole text's ids as little-endian unsigned 32-bit integers. plain: special tokens in a text are
+    words like any other (the library's encode_special_tokens); otherwise as the file has it."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain and t.special)]
+        # of normalized ones the case may be folded
+        told = [rf"(?i:{re.escape(t.content)})" if t.normalized else re.escape(t.content) for t in added]
+        self.added = re.compile("|".join(told)).search if told else None
         self.vocab = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
@@ -139,14 +145,16 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         """None for a null or empty text."""
-        return self._encode(text) if text else b""
+        if not text:
+            return b""
+        return self._whole(text) if self.added and self.added(text) else self._encode(text)
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One for each Python worker and file."""
+    """The library's own ids, by one encoder for each Python worker and file."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, plain=False)
     return _encoders[path]

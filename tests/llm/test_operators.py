@@ -79,6 +79,26 @@ def test_token_ids_equal_the_librarys(rows, tokenizers):
             assert np.frombuffer(e.encode(text), "<u4").tolist() == want, repr(text)
 
 
+def test_added_tokens_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    from foliant.llm.tokens import encoder
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = tokenizer_path(name)
+        t = Tokenizer.from_file(path)
+        texts = [x for a in t.get_added_tokens_decoder().values() for x in (f"foo {a.content} bar", f"{a.content}x", f"a\n{a.content.upper()}  {a.content}{a.content}", a.content[:-1])]
+        want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert [np.frombuffer(encoder(path).encode(x), "<u4").tolist() for x in texts] == want
+        table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        if name == "byte_bpe_50k.json":
+            got = {(x["doc_id"], x["length"], x["ids_crc32"]) for x in packing.pack_documents(table, path, 2048, 0).collect()}
+            assert got == {(i, len(x) + 1, crc([*x, 0])) for i, x in enumerate(want)}
+        else:
+            got = {(x["doc_id"], x["n_tokens"], x["ids_crc32"]) for x in arrow_sequences.encode_to_files(table, path, end_id=1).collect()}
+            assert got == {(i, len(x) + 1, crc([*x, 1])) for i, x in enumerate(want)}
+
+
 def test_packing(docs, rows, none, tokenizers):
     path, seq = tokenizer_path("byte_bpe_50k.json"), 64
     got = [r.asDict() for r in packing.pack_documents(docs, path, seq).collect()]
