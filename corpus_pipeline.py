@@ -33,7 +33,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out at the rates that give each domain its share."""
-    return mixing.resample(docs, table(spark, sf_dir, "labels"), MIX_TARGETS, MIX_BUDGET, MIX_MOST)
+    return mixing.resample(docs, table(spark, sf_dir, "labels"), MIX_TARGETS, MIX_BUDGET, MIX_MOST, most_bad=1.0)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -133,14 +133,15 @@ def rate(p: Column, steps: list[list[float]]) -> Column:
     return F.aggregate(given, F.lit(1.0), moved)
 
 
-def goals(have: np.ndarray, targets: dict[str, float], budget: float, most: float) -> np.ndarray:
-    """Words of each domain: its target's share of the budget, but no more than `most` times what it has. What a
-    scarce domain can't give makes the mix smaller; no other domain is raised for it."""
+def goals(have: np.ndarray, targets: dict[str, float], budget: float, most: float, most_bad: float | None = None) -> np.ndarray:
+    """Words of each domain: its target's share of the budget, but no more than `most` times what it has (most_bad for
+    all but clean). What a scarce domain can't give makes the mix smaller; no other domain is raised for it."""
     want = np.array([targets[d] for d in DOMAINS], float)
-    return np.minimum(want * budget, np.where(have > 1e-12, have * most, 0.0))
+    limit = np.array([most if d == "clean" or most_bad is None else most_bad for d in DOMAINS])
+    return np.minimum(want * budget, np.where(have > 1e-12, have * limit, 0.0))
 
 
-def fit_rates(scored: DataFrame, targets: dict[str, float], budget: float = 1.0, most: float = 4.0) -> list[list[float]]:
+def fit_rates(scored: DataFrame, targets: dict[str, float], budget: float = 1.0, most: float = 4.0, most_bad: float | None = None) -> list[list[float]]:
     """Steps whose fold meets the targets over a written table with mix_words and mix_p. budget: words of the mix over
     words there are. most: how often a domain may be repeated on the whole."""
     k = len(DOMAINS)
@@ -153,7 +154,7 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], budget: float = 1.0,
     gram = np.array([x or 0.0 for x in first[1 : 1 + k * k]]).reshape(k, k) / total
     have = np.array([x or 0.0 for x in first[1 + k * k :]]) / total
     weight = np.linalg.pinv(gram + 1e-9 * np.eye(k))
-    goal = goals(have, targets, budget, most)
+    goal = goals(have, targets, budget, most, most_bad)
     steps: list[list[float]] = []
     for _ in range(STEPS):
         miss = have - goal
@@ -175,12 +176,12 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     return scored.select("doc_id", F.col("mix_words").alias("n_words"), *[F.col("mix_p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], rate(F.col("mix_p"), steps).alias("rate"))
 
 
-def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float = 1.0, most: float = 4.0, seed: int = 7) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float = 1.0, most: float = 4.0, seed: int = 7, most_bad: float | None = None) -> DataFrame:
     """docs, each row as often as its rate says: floor(rate) times, and once more for those whose hash of (doc_id,
     text) falls below the rest of the rate."""
     columns = docs.columns
     scored = written(with_posteriors(docs, train(docs, labels)), "posteriors")
-    steps = fit_rates(scored, targets, budget, most)
+    steps = fit_rates(scored, targets, budget, most, most_bad)
     r = rate(F.col("mix_p"), steps)
     uniform = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11) / F.lit(float(1 << 53))
     copies = F.floor(r) + (uniform < r - F.floor(r)).cast("int")

@@ -315,26 +315,6 @@ def test_rules(docs, rows, none):
     assert robust_outliers.apply_rules(none).count() == 0
 
 
-def test_distances_match_numpy(spark):
-    r = np.random.default_rng(2)
-    x = r.normal(size=(3000, 5)) @ np.diag([1, 0.5, 2, 1, 1]) + [5, 5, 1, 0, 0]
-    x[:150] += 25
-    frame = spark.createDataFrame([(int(i), "g", *map(float, v)) for i, v in enumerate(x)], "i long, grp string, " + ", ".join(f"{n} double" for n, _ in robust_outliers.STATISTICS)).repartition(4)
-    estimate = robust_outliers.estimates(frame)
-    e = estimate.first()
-    mean = np.array([e[f"m{i}"] for i in range(5)])
-    low = np.array([[e[f"l{i}_{j}"] if j <= i else 0 for j in range(5)] for i in range(5)])
-    assert np.abs(mean - [5, 5, 1, 0, 0]).max() < 0.15
-    got = {q["i"]: q["d2"] for q in robust_outliers._distances(frame, estimate).collect()}
-    want = (np.linalg.solve(low, (x - mean).T) ** 2).sum(0)
-    assert np.allclose([got[i] for i in range(len(x))], want)
-    cut = robust_outliers.chi_square(1 - 1e-9, 5)
-    assert (want[:150] > cut).all() and (want[150:] < cut).all()
-
-
-def test_chi_square():
-    assert abs(robust_outliers.chi_square(0.95, 5) - 11.0705) < 1e-3 and abs(robust_outliers.chi_square(0.5, 2) - 1.3863) < 1e-3
-
 def test_each_statistic_can_reject(spark):
     r = random.Random(12)
     fresh = lambda n, size=5: ["".join(r.choices("abcdefghijklmnop", k=size)) for _ in range(n)]
@@ -356,6 +336,26 @@ def test_each_statistic_can_reject(spark):
     assert sum(x["kept"] for x in got.values()) >= 300
 
 
+def test_distances_match_numpy(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(3000, 5)) @ np.diag([1, 0.5, 2, 1, 1]) + [5, 5, 1, 0, 0]
+    x[:150] += 25
+    frame = spark.createDataFrame([(int(i), "g", *map(float, v)) for i, v in enumerate(x)], "i long, grp string, " + ", ".join(f"{n} double" for n, _ in robust_outliers.STATISTICS)).repartition(4)
+    estimate = robust_outliers.estimates(frame)
+    e = estimate.first()
+    mean = np.array([e[f"m{i}"] for i in range(5)])
+    low = np.array([[e[f"l{i}_{j}"] if j <= i else 0 for j in range(5)] for i in range(5)])
+    assert np.abs(mean - [5, 5, 1, 0, 0]).max() < 0.15
+    got = {q["i"]: q["d2"] for q in robust_outliers._distances(frame, estimate).collect()}
+    want = (np.linalg.solve(low, (x - mean).T) ** 2).sum(0)
+    assert np.allclose([got[i] for i in range(len(x))], want)
+    cut = robust_outliers.chi_square(1 - 1e-9, 5)
+    assert (want[:150] > cut).all() and (want[150:] < cut).all()
+
+
+def test_chi_square():
+    assert abs(robust_outliers.chi_square(0.95, 5) - 11.0705) < 1e-3 and abs(robust_outliers.chi_square(0.5, 2) - 1.3863) < 1e-3
+
 
 BASE = (("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 12), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16))
 
@@ -389,26 +389,6 @@ def test_nested_secrets():
     assert secret_scan.redacted("a password: abcdefghijklm b 0123456789abcdef0 c") == "a [secret] b [secret] c"
 
 
-def test_redact_keeps_rows_and_columns(docs, rows):
-    out = secret_scan.redact(docs)
-    assert out.columns == docs.columns
-    assert Counter(r["doc_id"] for r in out.collect()) == Counter(r[0] for r in rows)
-    assert all(r["n_chars"] == len(r["text"]) for r in out.filter("text is not null").collect())
-
-
-def good(r):
-    return "\n".join(" ".join(r.choice(["the", "and", "ofthe", "ation", "erent"]) for _ in range(9)).capitalize() + "." for _ in range(r.randint(1, 8)))
-
-
-def bad(r):
-    return good(r) + "\n" + "\n".join(" ".join(r.choice(["the***", "and$$$", "of%%%", "THE!!", "|"]) for _ in range(12)) for _ in range(r.randint(3, 8)))
-
-
-def test_quality_field(spark, docs, none):
-    r = random.Random(4)
-    rows = [(i, bad(r) if i % 3 == 0 else good(r)) for i in range(600)]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(600)] + [(None, 1, 0), (9999, 0, 0)], "doc_id long, quality int, toxic int")
 def test_secrets_behind_and_across():
     import base64
     import gzip
@@ -443,6 +423,26 @@ def test_secrets_behind_and_across():
     assert (0, len(late), 0) in secret_scan.find(late)[1]
 
 
+def test_redact_keeps_rows_and_columns(docs, rows):
+    out = secret_scan.redact(docs)
+    assert out.columns == docs.columns
+    assert Counter(r["doc_id"] for r in out.collect()) == Counter(r[0] for r in rows)
+    assert all(r["n_chars"] == len(r["text"]) for r in out.filter("text is not null").collect())
+
+
+def good(r):
+    return "\n".join(" ".join(r.choice(["the", "and", "ofthe", "ation", "erent"]) for _ in range(9)).capitalize() + "." for _ in range(r.randint(1, 8)))
+
+
+def bad(r):
+    return good(r) + "\n" + "\n".join(" ".join(r.choice(["the***", "and$$$", "of%%%", "THE!!", "|"]) for _ in range(12)) for _ in range(r.randint(3, 8)))
+
+
+def test_quality_field(spark, docs, none):
+    r = random.Random(4)
+    rows = [(i, bad(r) if i % 3 == 0 else good(r)) for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(600)] + [(None, 1, 0), (9999, 0, 0)], "doc_id long, quality int, toxic int")
     got = quality_crf.score(table, labels).collect()
     out = [g for g in got if g["held_out"]]
     assert all(g["held_out"] == (zlib.crc32(str(g["doc_id"]).encode()) % 3 == 1) for g in got)
@@ -491,5 +491,10 @@ def test_mixing_meets_targets(spark, docs, none):
     assert mixing.rates(none, labels, targets).count() == 0
 
 
+def test_goals_raise_no_junk_or_toxic_text():
+    got = mixing.goals(np.array([0.99, 0.006, 0.004]), {"clean": 0.985, "junk": 0.01, "toxic": 0.005}, 1.1, 1.1, 1.0)
+    assert np.allclose(got, [1.0835, 0.006, 0.004])
+
+
 def test_goals_spare_scarce_domains():
     assert np.allclose(mixing.goals(np.array([0.9, 0.0, 0.1]), {"clean": 0.985, "junk": 0.01, "toxic": 0.005}, 1.1, 1.1), [0.99, 0, 0.0055])
