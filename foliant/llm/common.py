@@ -2,39 +2,44 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from foliant.sources.tables import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the setting is missing (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="foliant-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+__all__ = ["BROADCAST_ROWS", "fresh", "shared_dir", "shuffle_partitions", "sized", "slices", "table", "work_path", "written"]
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/foliant/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and outlives any executor."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """The name, with underscores behind it as long as a column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Rows of a few numbers that may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if a count shows that it is small enough; otherwise as it
+    is, for a join that shuffles."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

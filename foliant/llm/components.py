@@ -10,27 +10,35 @@ from .common import written
 
 
 class Forest:
-    """Classes over 0..n-1; a batch of links costs array operations, and a loop only over links that join classes."""
+    """Classes over 0..n-1; a batch of links costs a few array operations, whatever the number of classes they join."""
 
     def __init__(self, n: int):
-        self.label = np.arange(n)
+        self.parent = np.arange(n)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The smallest index of the class of each of x."""
+        top = self.parent[x]
+        while not np.array_equal(up := self.parent[top], top):
+            top = up
+        self.parent[x] = top
+        return top
 
     def add(self, x: np.ndarray, y: np.ndarray) -> None:
         while True:
-            a, b = self.label[x], self.label[y]
+            a, b = self.find(x), self.find(y)
             apart = a != b
             if not apart.any():
                 return
-            x, y = x[apart], y[apart]
-            a, b = int(a[apart][0]), int(b[apart][0])
-            # every link from one of the two classes goes at once
-            self.label[self.label == max(a, b)] = min(a, b)
+            x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+            # a root is hung below the smallest root that it is linked to; links that this leaves apart go round again
+            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
     def stars(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(member, smallest member) of every class of two or more, but for the smallest itself. nodes: by index."""
+        label = self.find(np.arange(len(nodes)))
         least = np.full(len(nodes), np.iinfo("int64").max)
-        np.minimum.at(least, self.label, nodes)
-        top = least[self.label]
+        np.minimum.at(least, label, nodes)
+        top = least[label]
         return nodes[nodes != top], top[nodes != top]
 
 

@@ -4,21 +4,30 @@ Fingerprints: words of the lower-cased (A-Z) text, joined into shingles with rep
 more than half of the hashes have it. Fingerprints of more than 64 bits take further words from a fixed mix of the
 same hashes. Equal fingerprints are grouped first, so copies cost nothing further.
 
-Distinct fingerprints are dealt by population count into blocks of about BLOCK, sorted by the population counts of
-their quarters. Block pairs whose counts differ by more than the radius are never formed (a bit count of p - q is the
-least distance), and within a pair neither are tiles whose quarters' counts together differ by more. What is left is
-compared by numpy exclusive-or and bit counts. The comparison is exact: no bucket, cap or sample. A task keeps only a
-spanning forest of the links that it finds, so a large group of near copies yields rows in proportion to its members,
-not to its pairs; connected components then run as joins and aggregations over written tables.
-
-Null and empty text: no words, fingerprint zero, linked like any other. Null doc_id: kept, and never the smallest.
-Empty table: no rows. Extra columns are not read.
+Distinct fingerprints are dealt by a class into sheets of about BLOCK, and sheets whose classes can hold no link are
+never paired. With a radius that is small against the bits, the class is one of radius + 1 groups of bits: of
+radius + 1 groups one is equal in any two fingerprints that differ in radius bits, so each fingerprint is dealt once
+for each group and meets those alone that share it, a share of one in some thousands. With a wide radius the class is
+the population count or, where the caller knows the sizes of the sets and the least ratio of two, the size. Within a
+pair of sheets, tiles are skipped whose classes or whose quarters' population counts differ beyond what a link allows
+(a bit count of p - q is the least distance), and the rest is compared by numpy exclusive-or and bit counts. The
+comparison is exact: no bucket, cap or sample. A class of more than BLOCK is dealt into several sheets, all pairs of
+which are compared in tasks of their own. A task keeps only a spanning forest of the links that it finds, so a large
+group of near copies yields rows in proportion to its members, not to its pairs; connected components then run as
+joins and aggregations over written tables.
+
+Null and empty text: no words, fingerprint zero, linked like any other. Null doc_id: linked like any other, and never
+the smallest; a class without any id has none. Very long texts: one text's hashes are held at a time. Ties: equal
+fingerprints are one node. Repeated rows: each alike. Empty table: no rows. Extra columns are not read by
+near_duplicates(), and kept, whatever their names, by one_of_each().
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,10 +36,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, slices, written
+from .common import fresh, shuffle_partitions, slices, written
 from .components import Forest, connected_components
 
 BLOCK, TILE = 32768, 256
+#: Hashes of the sets of one side of a comparison: 16 MB.
+SET_HASHES = 1 << 21
+#: Groups of bits are used if each has so many bits at least.
+GROUP_BITS = 8
+#: Rows at most of a broadcast list of hash buckets (a filter in front of exact joins, which stay right when it fills).
+FILTER_BUCKETS = 1 << 19
 #: Odd 64-bit constants of the mixes that give the words after the first.
 MIXES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -89,87 +104,123 @@ def _quarters(fps: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps.view(np.uint16)).reshape(n, 4, width).sum(2).astype(np.int16)
 
 
-def _tiles(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    q = _quarters(fps)
-    at = np.arange(0, len(fps), TILE)
-    return np.minimum.reduceat(q, at, axis=0), np.maximum.reduceat(q, at, axis=0)
+class Sheet(NamedTuple):
+    """Fingerprints in the order of tiles, with the class that each is compared by and its node."""
 
+    fps: np.ndarray  # rows of 64-bit words
+    key: np.ndarray
+    node: np.ndarray
 
-def links_between(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of rows of a and b that differ in at most radius bits; of one block with itself, i < j."""
-    (a_low, a_high), (b_low, b_high) = _tiles(a), _tiles(b)
-    width = a.shape[1]
+    @staticmethod
+    def of(fps: np.ndarray, key: np.ndarray, node: np.ndarray) -> Sheet:
+        order = np.lexsort((*_quarters(fps).T[::-1], key))
+        return Sheet(fps[order], key[order], node[order])
+
+    def tiles(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lowest and highest counts of the quarters, lowest and highest class of each tile."""
+        q, at = _quarters(self.fps), np.arange(0, len(self.fps), TILE)
+        ends = np.append(at[1:], len(self.fps)) - 1
+        return np.minimum.reduceat(q, at, axis=0), np.maximum.reduceat(q, at, axis=0), self.key[at], self.key[ends]
+
+
+def links_between(a: Sheet, b: Sheet, radius: int, ratio: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of a and b that differ in at most radius bits, the lesser class being at least ratio times
+    the greater; of one sheet with itself, i < j."""
+    (a_low, a_high, a_least, a_most), (b_low, b_high, b_least, b_most) = a.tiles(), b.tiles()
+    width = a.fps.shape[1]
     for i in range(len(a_low)):
         gap = np.maximum(0, np.maximum(b_low - a_high[i], a_low[i] - b_high)).sum(1)
-        rows = a[i * TILE : (i + 1) * TILE]
-        for j in np.flatnonzero(gap <= radius).tolist():
+        meets = (gap <= radius) & (b_most >= ratio * a_least[i]) & (a_most[i] >= ratio * b_least)
+        rows, row_key = a.fps[i * TILE : (i + 1) * TILE], a.key[i * TILE : (i + 1) * TILE]
+        for j in np.flatnonzero(meets).tolist():
             if same and j < i:
                 continue
-            cols = b[j * TILE : (j + 1) * TILE]
+            cols = b.fps[j * TILE : (j + 1) * TILE]
             apart = np.bitwise_count(rows[:, 0, None] ^ cols[None, :, 0])
             for k in range(1, width):
                 apart = np.add(apart, np.bitwise_count(rows[:, k, None] ^ cols[None, :, k]), dtype=np.uint16)
             near = apart <= radius
             if same and i == j:
                 near = np.triu(near, 1)
-            x, y = np.nonzero(near) if near.any() else (np.zeros(0, int),) * 2
-            if len(x):
-                yield x + i * TILE, y + j * TILE
-
-
-def near_links(distinct: DataFrame, radius: int, width: int = 1, block: int = BLOCK) -> DataFrame:
-    """u, v: for every block pair a spanning forest of the links between its fingerprints. distinct: fp, node (long)."""
-    bits = 64 * width
-    ones = sum((F.bit_count(F.conv(F.hex(F.substring("fp", 8 * k + 1, 8)), 16, -10).cast("long")) for k in range(width)), F.lit(0))
-    rows = written(distinct.select("fp", "node", ones.cast("int").alias("ones")), "distinct")
-    counts = {r[0]: r[1] for r in rows.groupBy("ones").agg(F.count("*").alias("n")).collect()}  # 64 * width + 1 rows at most
-    # neighbouring counts share a block while they are few together
-    blocks: list[tuple[int, int, int]] = []  # lowest count, highest, how many blocks
-    for p in sorted(counts):
-        if blocks and blocks[-1][2] == 1 and sum(n for q, n in counts.items() if blocks[-1][0] <= q <= p) <= block // 8:
-            blocks[-1] = (blocks[-1][0], p, 1)
+            if not near.any():
+                continue
+            x, y = np.nonzero(near)
+            p, q = row_key[x], b.key[j * TILE : (j + 1) * TILE][y]
+            fits = np.minimum(p, q) >= ratio * np.maximum(p, q)
+            if fits.any():
+                yield x[fits] + i * TILE, y[fits] + j * TILE
+
+
+def _sheets(counts: dict[int, int], reach: int, block: int) -> list[tuple[int, int, int, int, int]]:
+    """Of each class: its first sheet, how many sheets it is dealt into, and the first and last sheet that they are
+    compared with (classes at most reach apart). Neighbouring classes share a sheet while they are few."""
+    runs: list[list] = []  # classes, rows
+    for c in sorted(counts):
+        if runs and runs[-1][1] + counts[c] <= block:
+            runs[-1][0].append(c)
+            runs[-1][1] += counts[c]
         else:
-            blocks.append((p, p, max(1, math.ceil(counts[p] / block))))
-    first = [0]
-    for low, high, k in blocks:
-        first.append(first[-1] + k)
-    band = {p: b for b, (low, high, _) in enumerate(blocks) for p in counts if low <= p <= high}
-    if not blocks:
-        return rows.select(F.col("node").alias("u"), F.col("node").alias("v"))
-    at = F.create_map(*[F.lit(x) for p, b in band.items() for x in (p, first[b])])
-    many = F.create_map(*[F.lit(x) for p, b in band.items() for x in (p, blocks[b][2])])
-    number = at[F.col("ones")] + F.pmod(F.xxhash64("fp"), many[F.col("ones")]).cast("int")
-    pairs_of: dict[int, list[int]] = {}
-    for b, (low, high, k) in enumerate(blocks):
-        others = [c for c, (lo, hi, _) in enumerate(blocks) if lo - high <= radius and low - hi <= radius]
-        pairs_of[b] = [x for c in others for x in range(first[c], first[c] + blocks[c][2])]
-    total = first[-1]
+            runs.append([[c], counts[c]])
+    many = [max(1, math.ceil(n / block)) for _, n in runs]
+    first = [0, *accumulate(many)]
+    out, low, high = [], 0, 0
+    for r, (classes, _) in enumerate(runs):
+        while classes[0] - runs[low][0][-1] > reach:
+            low += 1
+        high = max(high, r)
+        while high + 1 < len(runs) and runs[high + 1][0][0] - classes[-1] <= reach:
+            high += 1
+        out += [(c, first[r], many[r], first[low], first[high + 1] - 1) for c in classes]
+    return out
+
+
+def near_links(distinct: DataFrame, radius: int, width: int = 1, block: int = BLOCK, least: float | None = None) -> DataFrame:
+    """u, v: for every pair of sheets a spanning forest of the links between its fingerprints. distinct: fp, node
+    (long), and size where least is given, the least ratio of the sizes of two that are linked."""
+    spark, bits = distinct.sparkSession, 64 * width
+    assert bits >= radius >= 0
+    words = [F.conv(F.hex(F.substring("fp", 8 * k + 1, 8)), 16, -10).cast("long") for k in range(width)]
+    groups = radius + 1
+    if least is not None:  # sizes within the ratio are in one class or in two that are neighbours
+        key, reach, ratio = F.col("size"), 1, least
+        number = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.lit(-math.log(least)))
+        dealt = distinct.select("fp", "node", key.cast("long").alias("key"), number.cast("long").alias("class"))
+    elif width == 1 and bits // groups >= GROUP_BITS:
+        reach, ratio, cuts = 0, 1.0, [bits * k // groups for k in range(groups + 1)]
+        same = [F.shiftrightunsigned(F.col("word"), a).bitwiseAND(F.lit((1 << (b - a)) - 1)) + F.lit(k << 32) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        dealt = distinct.select("fp", "node", words[0].alias("word")).select("fp", "node", F.explode(F.array(*same)).alias("key")).withColumn("class", F.col("key"))
+    else:
+        reach, ratio = radius, 1.0
+        ones = sum((F.bit_count(w) for w in words), F.lit(0)).cast("long")
+        dealt = distinct.select("fp", "node", F.lit(0).cast("long").alias("key"), ones.alias("class"))
+    dealt = written(dealt, "dealt")
+    # one row for each class there is: of population counts or size classes some hundreds, of bits at most
+    # (radius + 1) * 2 ** (64 / (radius + 1)), some ten thousand
+    classes = _sheets({r[0]: r[1] for r in dealt.groupBy("class").agg(F.count("*")).collect()}, reach, block)
+    if not classes:
+        return dealt.select(F.col("node").alias("u"), F.col("node").alias("v"))
+    where = F.broadcast(spark.createDataFrame(classes, "class long, first long, many long, low long, high long"))
 
     def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        fps = np.frombuffer(b"".join(pdf["fp"]), "<u8").reshape(-1, width)
-        order = np.lexsort(_quarters(fps).T[::-1])
-        mine, b = int(key[0]), int(np.searchsorted(first, int(key[0]), "right")) - 1
-        cells = [min(mine, o) * total + max(mine, o) for o in pairs_of[b]]
-        return pd.DataFrame({"cell": cells, "number": mine, "fps": fps[order].tobytes(), "nodes": pdf["node"].to_numpy("int64")[order].tobytes()})
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("number")
-        parts = [(np.frombuffer(f, "<u8").reshape(-1, width), np.frombuffer(n, "int64")) for f, n in zip(pdf["fps"], pdf["nodes"], strict=True)]
-        diagonal = int(pdf["cell"].iloc[0]) // total == int(pdf["cell"].iloc[0]) % total
-        if len(parts) < 2 and not diagonal:
-            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        (a, an), (b, bn) = parts[0], parts[-1]
-        classes, shift = Forest(len(an) if diagonal else len(an) + len(bn)), 0 if diagonal else len(an)
-        for x, y in links_between(a, b, radius, diagonal):
+        sheet = Sheet.of(np.frombuffer(b"".join(pdf["fp"]), "<u8").reshape(-1, width), pdf["key"].to_numpy("int64"), pdf["node"].to_numpy("int64"))
+        return pd.DataFrame({"number": [key[0]], "low": [pdf["low"].iloc[0]], "high": [pdf["high"].iloc[0]], "fps": [sheet.fps.tobytes()], "keys": [sheet.key.tobytes()], "nodes": [sheet.node.tobytes()]})
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        sheets = {n: Sheet(np.frombuffer(f, "<u8").reshape(-1, width), np.frombuffer(k, "int64"), np.frombuffer(v, "int64")) for n, f, k, v in zip(pdf["number"], pdf["fps"], pdf["keys"], pdf["nodes"], strict=True)}
+        a, b, same = sheets[key[0]], sheets[key[1]], key[0] == key[1]
+        classes, shift = Forest(len(a.node) if same else len(a.node) + len(b.node)), 0 if same else len(a.node)
+        for x, y in links_between(a, b, radius, ratio, same):
             classes.add(x, y + shift)
-        u, v = classes.stars(an if diagonal else np.concatenate((an, bn)))
+        u, v = classes.stars(a.node if same else np.concatenate((a.node, b.node)))
         return pd.DataFrame({"u": u, "v": v})
 
-    assert bits >= radius >= 0
-    sheets = rows.select("fp", "node", number.alias("number")).groupBy("number").applyInPandas(gather, "cell long, number long, fps binary, nodes binary")
+    number = F.col("first") + F.pmod(F.xxhash64("node"), F.col("many"))
+    sheets = dealt.join(where, "class").select("fp", "node", "key", number.alias("number"), "low", "high").groupBy("number").applyInPandas(gather, "number long, low long, high long, fps binary, keys binary, nodes binary")
+    # a sheet is written once, and goes row by row to the cells of the pairs that it is in
+    cells = written(sheets, "sheets").select("number", "fps", "keys", "nodes", F.explode(F.sequence("low", "high")).alias("other"))
+    cells = cells.select("number", "fps", "keys", "nodes", F.least("number", "other").alias("low"), F.greatest("number", "other").alias("high"))
     # cells are small to move and long to compare, so their partitions are not to be put together by size
-    spread = sheets.repartition(shuffle_partitions(distinct.sparkSession), "cell")
-    return spread.groupBy("cell").applyInPandas(compare, "u long, v long")
+    return cells.repartition(shuffle_partitions(spark), "low", "high").groupBy("low", "high").applyInPandas(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, width: int = 1, radius: int = 4, seed: int = 42) -> DataFrame:
@@ -180,12 +231,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, width: int = 1, radius: int
 
 def with_components(prints: DataFrame, radius: int, width: int) -> DataFrame:
     """A written table of doc_id, fp (and more) with component_id."""
-    # node: the smallest doc_id of a fingerprint; a fingerprint with no doc_id at all can join no class
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    nodes = written(nodes, "nodes")
-    links = written(near_links(nodes.filter("node is not null"), radius, width), "links")
-    classes = connected_components(links)
-    named = nodes.join(classes, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    # a node stands for a fingerprint, whether it has a doc_id or not
+    node = F.conv(F.hex("fp"), 16, -10).cast("long") if width == 1 else F.xxhash64("fp")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")).withColumn("node", node), "nodes")
+    classes = connected_components(written(near_links(nodes.select("fp", "node"), radius, width), "links"))
+    classed = written(nodes.join(classes, "node", "left").select("fp", "first_id", F.coalesce("component", "node").alias("component")), "classes")
+    least = classed.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = classed.join(least, "component").select("fp", "component_id")
     return prints.join(named, "fp", "left")
 
 
@@ -201,19 +253,21 @@ def _big_endian(name: str):
 
 
 def _sets(docs: DataFrame, words: int, seed: int, carry: tuple[str, ...], width: int = 0) -> DataFrame:
-    """node (of the set of distinct shingles: a hash of it), the carried columns, and fp of the set or, without a
-    width, the sorted set itself (binary)."""
+    """node (of the set of distinct shingles: a hash of it), the carried columns, and size and fp of the set or, without
+    a width, the sorted set itself (binary)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            nodes, out = [], []
+            nodes, sizes, out = [], [], []
             for text in batch.column("text").to_pylist():
                 h = np.unique(shingle_hashes(text, words, seed)).astype("<u8", copy=False)
                 nodes.append(xxhash.xxh64_intdigest(h.tobytes(), seed) - (1 << 63))
+                sizes.append(len(h))
                 out.append(np.array([majority(_mixed(h, k)) for k in range(width)], "<u8").tobytes() if width else h.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *(batch.column(c) for c in carry), pa.array(out, pa.binary())], names=["node", *carry, "fp" if width else "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *(batch.column(c) for c in carry), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["node", *carry, "size", "fp" if width else "shingles"])
 
     kinds = dict(docs.dtypes)
-    schema = "node long, " + "".join(f"`{c}` {kinds[c]}, " for c in carry) + ("fp binary" if width else "shingles binary")
+    schema = "node long, " + "".join(f"`{c}` {kinds[c]}, " for c in carry) + "size long, " + ("fp binary" if width else "shingles binary")
     return docs.select(*carry, "text").mapInArrow(run, schema)
 
 
@@ -226,40 +280,40 @@ def alike(one: np.ndarray, others: list[np.ndarray], least: float) -> np.ndarray
     return both >= least * (len(one) + sizes - both) - 1e-9
 
 
-def verified_links(members: DataFrame, radius: int, width: int, least: float, block: int = 2048) -> DataFrame:
+def verified_links(members: DataFrame, radius: int, width: int, least: float, block: int = SET_HASHES) -> DataFrame:
     """u, v: a spanning forest, for every pair of blocks, of the links within a component of candidates that have at
-    least that Jaccard similarity. members: a written table of component, node, fp, shingles, each node once.
+    least that Jaccard similarity. members: a written table of component, node, size, fp, shingles, each node once.
 
-    Small components share a block; one of more than a block is dealt into several, and each pair of them is a cell.
-    Every pair within the radius is held against the sets, but for those that other links have joined already.
+    A block is about that many hashes, so what a task holds follows neither a component's members nor their lengths.
+    Small components share one; a larger one is dealt into several, and each pair of them is a cell. Every pair within
+    the radius is held against the sets, but for those that other links have joined already.
     """
-    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
+    sizes = members.groupBy("component").agg(F.sum(F.greatest("size", F.lit(1))).alias("n"))
     many = F.ceil(F.col("n") / block).cast("int")
-    packs = max(1, math.ceil((members.count() or 1) / block))
+    packs = max(1, math.ceil((members.agg(F.sum("size")).first()[0] or 1) / block))
     dealt = members.join(written(sizes, "sizes"), "component").withColumn("many", many)
     mine = F.pmod(F.xxhash64("node"), F.col("many")).cast("int")
     pack = F.when(F.col("many") == 1, F.pmod(F.xxhash64("component"), F.lit(packs))).otherwise(F.col("component"))
-    dealt = dealt.select("component", "node", "fp", "shingles", pack.alias("pack"), (F.col("many") > 1).alias("large"), mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("other"))
+    dealt = dealt.select("component", "node", "size", "fp", "shingles", pack.alias("pack"), (F.col("many") > 1).alias("large"), mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("other"))
     cells = dealt.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high, mine = pdf["low"].iloc[0], pdf["high"].iloc[0], pdf["mine"].to_numpy()
         nodes, of = pdf["node"].to_numpy("int64"), pdf["component"].to_numpy("int64")
         fps = np.frombuffer(b"".join(pdf["fp"]), "<u8").reshape(-1, width)
-        sets = [np.frombuffer(x, "<u8") for x in pdf["shingles"]]
-        mine, classes = pdf["mine"].to_numpy(), Forest(len(nodes))
-        first = np.flatnonzero(mine == pdf["low"].iloc[0])
-        second = first if pdf["low"].iloc[0] == pdf["high"].iloc[0] else np.flatnonzero(mine == pdf["high"].iloc[0])
-        if not len(first) or not len(second):
-            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        for x, y in links_between(fps[first], fps[second], radius, first is second):
-            x, y = first[x], second[y]
-            for i in np.unique(x).tolist():
-                j = y[x == i]
-                j = j[(of[j] == of[i]) & (classes.label[j] != classes.label[i])]
-                j = np.array([k for k in j.tolist() if len(sets[k])], np.int64)
-                if len(j) and len(sets[i]):
-                    j = j[alike(sets[i], [sets[k] for k in j.tolist()], least)]
-                    classes.add(np.full(len(j), i), j)
+        sets, size, classes = [np.frombuffer(x, "<u8") for x in pdf["shingles"]], pdf["size"].to_numpy("int64"), Forest(len(nodes))
+        side = lambda k: Sheet.of(fps[at := np.flatnonzero((mine == k) & (size > 0))], size[at], at)
+        first = side(low)
+        second = first if low == high else side(high)
+        if len(first.node) and len(second.node):
+            for x, y in links_between(first, second, radius, least, first is second):
+                x, y = first.node[x], second.node[y]
+                for i in np.unique(x).tolist():
+                    j = y[x == i]
+                    j = j[(of[j] == of[i]) & (classes.find(j) != classes.find(np.array([i])))]
+                    if len(j):
+                        j = j[alike(sets[i], [sets[k] for k in j.tolist()], least)]
+                        classes.add(np.full(len(j), i), j)
         u, v = classes.stars(nodes)
         return pd.DataFrame({"u": u, "v": v})
 
@@ -267,6 +321,15 @@ def verified_links(members: DataFrame, radius: int, width: int, least: float, bl
     return spread.groupBy("large", "pack", "low", "high").applyInPandas(compare, "u long, v long")
 
 
+def _rows_of(keyed: DataFrame, keys: DataFrame, id_name: str, tie: str) -> DataFrame:
+    """The rows of keyed whose (doc_id, tie) is in keys (first_id, first_tie): a list of the keys' hash buckets, of at
+    most FILTER_BUCKETS numbers, lets the others go where they are read, so that their texts don't move."""
+    bucket = lambda a, b: F.pmod(F.xxhash64(F.coalesce(F.col(a), F.lit(0)), F.col(b)), F.lit(FILTER_BUCKETS))
+    listed = written(keys.select(bucket("first_id", "first_tie").alias("bucket_of")).distinct(), "buckets")
+    near = keyed.join(F.broadcast(listed), bucket(id_name, tie) == F.col("bucket_of"), "left_semi")
+    return near.join(keys, F.col(id_name).eqNullSafe(F.col("first_id")) & (F.col(tie) == F.col("first_tie")), "left_semi")
+
+
 def one_of_each(docs: DataFrame, words: int = 5, width: int = 4, radius: int = 64, least: float = 0.8, seed: int = 42) -> DataFrame:
     """docs without near duplicates: of each class the row with the smallest (doc_id, hash of the text) stays. Classes
     are the components of the links between texts whose sets of distinct shingles have a Jaccard similarity of least.
@@ -274,29 +337,36 @@ def one_of_each(docs: DataFrame, words: int = 5, width: int = 4, radius: int = 6
     Fingerprints only find the candidates. Sets at a Jaccard similarity of 0.8 have a cosine of 2 * 0.8 / 1.8 = 0.889
     at least, an angle of 0.476, and so are about 256 * 0.476 / pi = 39 of 256 bits apart, give or take 6; a radius of
     64 is four deviations from there. Each candidate link is then held against the sets themselves.
+
+    Texts are read where they lie: once for the fingerprints, once for the sets of the candidates, and twice for the
+    rows that stay. Only candidates' sets and the few rows that share a hash bucket with a dropped one are shuffled.
     """
     columns = docs.columns
-    keyed = docs.select(*columns, F.xxhash64(*[c for c in columns if c != "doc_id"]).alias("row_tie"))
-    prints = written(_sets(keyed, words, seed, ("doc_id", "row_tie"), width), "fingerprints")
-    nodes = written(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min(F.struct("doc_id", "row_tie")).alias("row")), "nodes")
-    loose = connected_components(written(near_links(nodes.select("fp", "node"), radius, width), "candidates"))
-    # the sets of one row for each candidate
-    rows = nodes.join(loose, "node").select("node", "fp", "component", F.col("row.doc_id").alias("first_id"), F.col("row.row_tie").alias("first_tie"))
-    rows = written(rows, "candidate-rows")
-    same_row = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("row_tie") == F.col("first_tie"))
-    texts = keyed.select("doc_id", "row_tie", "text").join(rows.select("first_id", "first_tie"), same_row, "left_semi").dropDuplicates(["doc_id", "row_tie"])
-    sets = _sets(texts, words, seed, ())
-    members = written(rows.select("component", "node", "fp").join(sets, "node"), "members")
-    links = written(verified_links(members, radius, width, least), "links")
-    classes = prints.join(connected_components(links), "node", "left").withColumn("class", F.coalesce("component", "node"))
+    tie, away = fresh(columns, "row_tie"), fresh(columns, "row_away")
+    keyed = docs.withColumn(tie, F.xxhash64(*[c for c in columns if c != "doc_id"]))
+    prints = written(_sets(keyed.withColumnRenamed("doc_id", away).select(F.col(away).alias("first_id"), F.col(tie).alias("first_tie"), "text"), words, seed, ("first_id", "first_tie"), width), "fingerprints")
     # a null sorts last
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_tie")
-    firsts = classes.groupBy("class").agg(F.min(rank).alias("first")).select("first.doc_id", "first.row_tie")
-    firsts = written(firsts, "firsts")
-    twins = written(prints.groupBy("doc_id", "row_tie").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("twin_id"), F.col("row_tie").alias("twin_tie")), "twins")
-    same = lambda a, b: F.col("doc_id").eqNullSafe(F.col(a)) & (F.col("row_tie") == F.col(b))
-    chosen = keyed.join(firsts.withColumnsRenamed({"doc_id": "first_id", "row_tie": "first_tie"}), same("first_id", "first_tie"), "left_semi")
-    if twins.isEmpty():
-        return chosen.select(*columns)
-    alone = chosen.join(twins, same("twin_id", "twin_tie"), "left_anti").select(*columns)
-    return alone.unionByName(chosen.join(twins, same("twin_id", "twin_tie"), "left_semi").select(*columns).distinct())
+    rank = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "first_tie")
+    nodes = written(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.min(rank).alias("row"), F.count("*").alias("n")), "nodes")
+    loose = connected_components(written(near_links(nodes.select("fp", "node", "size"), radius, width, least=least), "candidates"))
+    # the sets of one row for each candidate
+    rows = written(nodes.join(loose, "node").select("node", "size", "fp", "component", "row.first_id", "row.first_tie"), "candidate-rows")
+    texts = _rows_of(keyed, rows, "doc_id", tie).select("text")
+    sets = _sets(texts, words, seed, ()).select("node", "shingles").dropDuplicates(["node"])
+    members = written(rows.select("component", "node", "size", "fp").join(sets, "node"), "members")
+    classes = connected_components(written(verified_links(members, radius, width, least), "links"))
+    # every row but the first of its class goes, and of equal rows all but one
+    classed = prints.join(classes, "node", "left").select(F.coalesce("component", "node").alias("class"), "first_id", "first_tie")
+    counted = classed.groupBy("class", "first_id", "first_tie").agg(F.count("*").alias("n"))
+    counted = written(counted, "rows")
+    firsts = counted.groupBy("class").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "first_tie", "n")).alias("first"))
+    firsts = written(firsts.select("first.first_id", "first.first_tie", "first.n"), "firsts")
+    same = lambda a, b: a["first_id"].eqNullSafe(b["first_id"]) & (a["first_tie"] == b["first_tie"])
+    gone = written(counted.join(firsts, same(counted, firsts), "left_anti").select("first_id", "first_tie"), "gone")
+    twins = firsts.filter("n > 1").select("first_id", "first_tie")
+    bucket = lambda a, b: F.pmod(F.xxhash64(F.coalesce(F.col(a), F.lit(0)), F.col(b)), F.lit(FILTER_BUCKETS))
+    listed = written(gone.unionByName(twins).select(bucket("first_id", "first_tie").alias("bucket_of")).distinct(), "buckets")
+    kept = keyed.join(F.broadcast(listed), bucket("doc_id", tie) == F.col("bucket_of"), "left_anti").select(*columns)
+    # rows that stay though their bucket is listed
+    doubtful = written(firsts.join(F.broadcast(listed), bucket("first_id", "first_tie") == F.col("bucket_of"), "left_semi").select("first_id", "first_tie"), "doubtful")
+    return kept.unionByName(_rows_of(keyed, doubtful, "doc_id", tie).dropDuplicates(["doc_id", tie]).select(*columns))
