@@ -2,18 +2,28 @@
 
 Base rules fail a document of fewer than 50 words, or with more than half of its words in repeated 3-word windows.
 For the rest, a vector of transformed statistics (STATISTICS) is compared to a minimum-covariance-determinant estimate
-for its language and source: concentration steps from medians and median deviations, each an approximate quantile of
-the distances and a second moment of the nearest CORE of the rows; every step is an aggregation, combined before the
-shuffle, and is written as a table of one row for each group. Groups of fewer than LEAST rows use their language's
-estimate, and languages of fewer than LEAST rows the whole table's. A document is rejected if its squared Mahalanobis
-distance exceeds the chi-square quantile CUT. Deviations have a floor, for a statistic that is zero in most documents
-has none of its own.
+for its language and source: from three starts (medians and median deviations; the moments of all rows; those of the
+half that is nearest the medians in its farthest statistic) concentration steps, each the moments of the CORE of the
+rows that is nearest by the last, run until no determinant falls any more; the start with the smallest determinant is
+kept, and its moments are taken once more from all rows within the quantile REWEIGHT. A document is rejected if its
+squared Mahalanobis distance exceeds the chi-square quantile CUT.
+
+A variance below the square of a statistic's least deviation is raised to it: of symbols, repeated lines and repeated
+words most documents have none, and the covariance of the core would be singular. Every group of LEAST rows (five for
+each statistic) has its own estimate; with fewer none exists, and its language's stands in, or that of all documents,
+as the column level tells.
+
+Every step is an aggregation, combined before the shuffle, of all groups and starts at once, and is written as a table
+of a row for each. The rows themselves stay where they are: estimates are broadcast if there are few enough groups (a
+count decides), and otherwise joined.
 
 Windows are found within a document's own row: window hashes (64 bits) are sorted with their positions, equal
 neighbours are repeats, and the words covered are counted from the sorted positions; nothing is exploded.
 
-Null or empty text: no words, base_failed. Null lang or source: a group of its own. Null doc_id: kept. Repeated rows:
-each alike. Empty table: no rows. Extra columns are not read.
+Null or empty text: no words, base_failed. Null lang or source: a group of its own. Null doc_id: kept. Very long texts:
+an array of a word or a window's hash and place each, in the row. Ties: rows at the distance of the core's last belong
+to the core, a document at the cut is kept, and of equal determinants the first start's. Repeated rows: each alike.
+Empty table: no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,12 +33,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import BROADCAST_ROWS, sized, written
 
-CORE, LEAST, STEPS, CUT = 0.75, 100, 4, 0.9999
-#: name, least deviation: each statistic can pass the cut (a distance of 5.07) alone within the base rules (x_lines is at
-#: most log 11, x_repeats log 6), while one line of three that is repeated is no outlier
-STATISTICS = (("x_words", 0.5), ("x_word_length", 0.35), ("x_symbols", 0.25), ("x_lines", 0.4), ("x_repeats", 0.33))
+CORE, STEPS, REWEIGHT, CUT = 0.75, 40, 0.975, 0.9999
+#: name, least deviation: the last three can each pass the cut (a distance of 5.07) alone within the base rules (x_lines
+#: is at most log 11, x_repeats log 6), while one line of three that is repeated is no outlier
+STATISTICS = (("x_words", 0.05), ("x_word_length", 0.05), ("x_symbols", 0.25), ("x_lines", 0.4), ("x_repeats", 0.33))
+LEAST, STARTS = 5 * len(STATISTICS), 3
 _WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -91,80 +102,110 @@ _P = len(STATISTICS)
 _PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
 
 
-def _with_cholesky(estimate: DataFrame) -> DataFrame:
-    """m0.., c_ij (covariance) -> m0.., l_ij (its Cholesky factor), each a column."""
-    for i, j in _PAIRS:
-        rest = F.col(f"c{i}_{j}") - sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))
-        value = F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}_{j}")
-        estimate = estimate.withColumn(f"l{i}_{j}", value)
-    return estimate.select("grp", *[f"m{i}" for i in range(_P)], *[f"l{i}_{j}" for i, j in _PAIRS])
-
-
-def _distance() -> Column:
-    """Squared Mahalanobis distance: forward substitution; each solved coordinate is a field of the folded struct."""
-    z: list[Column] = []
-    for i in range(_P):
-        z.append((F.col(_NAMES[i]) - F.col(f"m{i}") - sum((F.col(f"l{i}_{k}") * F.col(f"z{k}") for k in range(i)), F.lit(0.0))) / F.col(f"l{i}_{i}"))
-    return z
+_MEANS = [f"m{i}" for i in range(_P)]
+_FACTOR = [f"l{i}_{j}" for i, j in _PAIRS]
 
 
-def _distances(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    out = rows.join(estimate, "grp", "left")
-    for i, z in enumerate(_distance()):
-        out = out.withColumn(f"z{i}", z)
-    return out.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(_P)), F.lit(0.0))).select(*rows.columns, "d2")
-
-
-def _moments(core: DataFrame, scale: float) -> DataFrame:
-    """Means and covariances (times scale, with the floors on the diagonal) of each group's rows."""
-    sums = [F.avg(n).alias(f"m{i}") for i, n in enumerate(_NAMES)]
-    covs = [F.coalesce(F.covar_pop(_NAMES[i], _NAMES[j]), F.lit(0.0)).alias(f"c{i}_{j}") for i, j in _PAIRS]
-    got = core.groupBy("grp").agg(*sums, *covs)
+def _with_cholesky(moments: DataFrame, keys: list[str], scale: float = 1.0) -> DataFrame:
+    """m0.., c_ij (covariance) -> m0.., l_ij (the Cholesky factor of scale times it, no variance below the least), each
+    a column, and det, the logarithm of the determinant."""
+    factor = []
     for i, j in _PAIRS:
-        got = got.withColumn(f"c{i}_{j}", F.col(f"c{i}_{j}") * scale + (F.lit(STATISTICS[i][1] ** 2) if i == j else F.lit(0.0)))
-    return got
-
-
-def estimates(rows: DataFrame) -> DataFrame:
-    """grp, m*, l*: the estimate of each group of a written table of statistics with grp."""
-    med = rows.groupBy("grp").agg(*[F.percentile_approx(n, 0.5, 1000).alias(f"m{i}") for i, n in enumerate(_NAMES)])
-    near = rows.join(written(med, "medians"), "grp")
-    mad = near.groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(_P)], *[F.percentile_approx(F.abs(F.col(n) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i, n in enumerate(_NAMES)])
-    start = mad.select("grp", *[f"m{i}" for i in range(_P)], *[(F.pow(F.col(f"a{i}") * 1.4826, 2) + STATISTICS[i][1] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in _PAIRS])
-    estimate = written(_with_cholesky(start), "estimate")
-    # the covariance of the nearest CORE of normal rows is too small by this factor
-    q = chi_square(CORE, _P)
-    scale = CORE / _chi_square_cdf(q, _P + 2)
-    for _ in range(STEPS):
-        far = written(_distances(rows, estimate).groupBy("grp").agg(F.percentile_approx("d2", CORE, 1000).alias("q")), "quantile")
-        core = _distances(rows, estimate).join(far, "grp").filter("d2 <= q")
-        estimate = written(_with_cholesky(_moments(core, scale)), "estimate")
-    return estimate
+        c = f"(c{i}_{j} * {scale!r}D)" if i != j else f"greatest(c{i}_{j} * {scale!r}D, {STATISTICS[i][1] ** 2!r}D)"
+        rest = " - ".join([c, *(f"l{i}_{k} * l{j}_{k}" for k in range(j))])
+        # of its own variance a thousandth at least is not the others'
+        factor.append(f"sqrt(greatest({rest}, {c} * 1e-3D)) AS l{i}_{j}" if i == j else f"({rest}) / l{j}_{j} AS l{i}_{j}")
+    det = " + ".join(f"2 * ln(l{i}_{i})" for i in range(_P))
+    return moments.selectExpr(*keys, *_MEANS, *factor, f"{det} AS det")  # each entry refers to those before it
+
+
+def _distances(rows: DataFrame, estimate: DataFrame, small: bool) -> DataFrame:
+    """rows for each estimate of their group, with its columns other than means and factors, and d2: the squared
+    Mahalanobis distance, by forward substitution, each solved coordinate a column. small: of few enough rows."""
+    z = [f"({' - '.join([f'{_NAMES[i]} - m{i}', *(f'l{i}_{k} * z{k}' for k in range(i))])}) / l{i}_{i} AS z{i}" for i in range(_P)]
+    d2 = " + ".join(f"z{i} * z{i}" for i in range(_P))
+    others = [c for c in estimate.columns if c not in ("grp", "det", *_MEANS, *_FACTOR)]
+    out = rows.join(F.broadcast(estimate) if small else estimate, "grp", "left")
+    return out.selectExpr(*rows.columns, *others, *z, f"{d2} AS d2").drop(*[f"z{i}" for i in range(_P)])
+
+
+def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Means and covariances of each group's rows."""
+    covs = [f"coalesce(covar_pop({_NAMES[i]}, {_NAMES[j]}), 0D) AS c{i}_{j}" for i, j in _PAIRS]
+    return rows.groupBy(*keys).agg(*[F.expr(f"avg({n}) AS m{i}") for i, n in enumerate(_NAMES)], *map(F.expr, covs))
+
+
+def consistency(core: float) -> float:
+    """The covariance of the nearest core of normal rows, times this, is that of all."""
+    return core / _chi_square_cdf(chi_square(core, _P), _P + 2)
+
+
+def _quantile(column: Column | str, p: float) -> Column:
+    """The smallest value that a share p of the rows does not exceed (its rank to a ten-thousandth)."""
+    return F.percentile_approx(column, p, 10000)
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """grp, start, m*, l*, det."""
+    med = written(rows.groupBy("grp").agg(*[_quantile(n, 0.5).alias(f"m{i}") for i, n in enumerate(_NAMES)]), "medians")
+    off = [F.abs(F.col(n) - F.col(f"m{i}")) for i, n in enumerate(_NAMES)]
+    spread = rows.join(sized(med), "grp").groupBy("grp").agg(*[_quantile(o, 0.5).alias(f"a{i}") for i, o in enumerate(off)])
+    spread = written(spread.join(med, "grp").select("grp", *_MEANS, *[F.greatest(F.col(f"a{i}") * 1.4826, F.lit(STATISTICS[i][1])).alias(f"s{i}") for i in range(_P)]), "deviations")
+    by_median = spread.select("grp", *_MEANS, *[(F.pow(f"s{i}", F.lit(2)) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in _PAIRS])
+    farthest = F.greatest(*[o / F.col(f"s{i}") for i, o in enumerate(off)])
+    far = rows.join(sized(spread), "grp").select("grp", *_NAMES, farthest.alias("far"))
+    half = written(far.groupBy("grp").agg(_quantile("far", 0.5).alias("half")), "half")
+    inner = far.join(sized(half), "grp").filter("far <= half")
+    told = [x.withColumn("start", F.lit(k)) for k, x in enumerate((by_median, _moments(rows, ["grp"]), _moments(inner, ["grp"])))]
+    return _with_cholesky(told[0].unionByName(told[1]).unionByName(told[2]), ["grp", "start"])
+
+
+def estimates(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """grp, m*, l*, det: the estimate of each group of a written table of statistics with grp; and whether they are few
+    enough to be broadcast."""
+    keys, scale = ["grp", "start"], consistency(CORE)
+    estimate = written(_starts(rows).withColumn("was", F.lit(0.0)), "estimate")
+    small = estimate.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    for step in range(1, STEPS + 1):
+        far = _distances(rows, estimate.drop("was"), small).groupBy(*keys).agg(_quantile("d2", CORE).alias("q"))
+        limits = estimate.drop("was").join(F.broadcast(far) if small else far, keys)
+        core = _distances(rows, limits, small).filter("d2 <= q")
+        now = _with_cholesky(_moments(core, keys), keys, scale)
+        estimate = written(now.join(estimate.select(*keys, F.col("det").alias("was")), keys), "estimate")
+        if step % 2 == 0 and (estimate.agg(F.max(F.abs(F.col("det") - F.col("was")))).first()[0] or 0.0) <= 1e-9:
+            break
+    # starts that end at the same rows differ by rounding alone
+    best = F.min_by(F.struct(*_MEANS, *_FACTOR, "det"), F.struct(F.round("det", 6), "start"))
+    estimate = written(estimate.groupBy("grp").agg(best.alias("e")).select("grp", "e.*"), "estimate")
+    near = _distances(rows, estimate, small).filter(F.col("d2") <= chi_square(REWEIGHT, _P))
+    return written(_with_cholesky(_moments(near, ["grp"]), ["grp"], consistency(REWEIGHT)), "estimate"), small
 
 
 def with_groups(stats: DataFrame) -> DataFrame:
-    """stats with grp: language and source, or the language, or "", by how many rows have passed the base rules."""
+    """stats with grp, that of the estimate used, and level: group (language and source), language or all, by how many
+    rows have passed the base rules."""
     lang, source = F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00"))
     pair, single = F.concat(F.lit("2"), lang, F.lit("\x01"), source), F.concat(F.lit("1"), lang)
-    n = stats.filter(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n"))
-    by_pair = n.select(pair.alias("pair"), F.col("n").alias("n_pair"))
-    by_lang = n.groupBy("lang").agg(F.sum("n").alias("n_lang")).select(single.alias("single"), "n_lang")
-    by_pair, by_lang = written(by_pair, "pairs"), written(by_lang, "languages")
+    n = written(stats.filter(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n")), "sizes")
+    by_pair = n.filter(F.col("n") >= LEAST).select(pair.alias("pair"), F.lit(True).alias("own"))
+    by_lang = n.groupBy("lang").agg(F.sum("n").alias("n_lang")).filter(F.col("n_lang") >= LEAST).select(single.alias("single"), F.lit(True).alias("of_lang"))
+    by_pair, by_lang = sized(written(by_pair, "pairs")), sized(written(by_lang, "languages"))
     out = stats.withColumn("pair", pair).withColumn("single", single).join(by_pair, "pair", "left").join(by_lang, "single", "left")
-    grp = F.when(F.col("n_pair") >= LEAST, F.col("pair")).when(F.col("n_lang") >= LEAST, F.col("single")).otherwise(F.lit(""))
-    return out.withColumn("grp", grp).drop("pair", "single", "n_pair", "n_lang")
+    grp = F.when(F.col("own"), F.col("pair")).when(F.col("of_lang"), F.col("single")).otherwise(F.lit(""))
+    level = F.when(F.col("own"), "group").when(F.col("of_lang"), "language").otherwise("all")
+    return out.withColumn("grp", grp).withColumn("level", level).drop("pair", "own", "of_lang")
 
 
 def apply_rules(docs: DataFrame, cut: float = CUT) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance2."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance2, level."""
     rows = written(with_groups(statistics(written(word_counts(docs), "counts"))), "statistics")
     passed = rows.filter(~F.col("base_failed"))
-    # a row of a small group also counts towards its language's and the whole table's estimate
-    single = F.concat(F.lit("1"), F.coalesce("lang", F.lit("\x00")))
-    used = passed.select(F.explode(F.array_distinct(F.array("grp", single, F.lit("")))).alias("grp"), *_NAMES)
+    # a row of a small group also counts towards its language's and the whole table's estimate, where one is used
     needed = written(rows.select("grp").distinct(), "groups")
-    estimate = estimates(written(used.join(needed, "grp", "left_semi"), "used"))
-    far = _distances(rows, estimate)
-    kept = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= chi_square(cut, _P))
+    used = passed.select(F.explode(F.array_distinct(F.array("grp", "single", F.lit("")))).alias("grp"), *_NAMES)
+    estimate, small = estimates(written(used.join(sized(needed), "grp", "left_semi"), "used"))
     base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    return far.select(*base, kept.alias("kept"), F.col("d2").alias("distance2"))
+    far = _distances(rows.select(*base, "level", "grp", *_NAMES), estimate, small)
+    # without any row that passes there is no estimate, and nothing to be kept
+    kept = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= chi_square(cut, _P))
+    return far.select(*base, kept.alias("kept"), F.col("d2").alias("distance2"), "level")
