@@ -3,14 +3,23 @@
 A classifier learnt from the labels table gives each document posteriors p_i over the domains clean, junk and toxic.
 With n_i the document's words, rates r_i >= 0 are fitted so that the expected domain totals A r = sum n_i r_i p_i meet
 targets t: projected gradient on the least squares |A r - t| (weighted by the inverse of the Gram matrix of the
-posteriors, which makes the steps well conditioned), from r = 1 on. One step is r_i <- max(0, r_i - p_i . y) with a
+posteriors of the documents whose rate is above 0, which makes the steps well conditioned), from r = 1 on. One step is r_i <- max(0, r_i - p_i . y) with a
 three-number y, so the rates after any number of steps are a fold of the y's over a document's own posteriors: each
 step is one aggregation over a written table of posteriors and word counts, and nothing but three numbers moves.
 
 The classifier is a softmax regression over line statistics and the presence of the words (hashed to 2^18 places)
-that tell the classes apart most, fitted on at most MAX_DOCS labelled rows, chosen by a hash of doc_id (a parameter).
-
-Null or empty text: no words; it counts for nothing, and has a rate like any other. Null doc_id: kept. A domain that no posterior reaches has the goal 0. Repeated rows: each alike. Empty table: no rows. Extra columns: kept by resample(), not read by rates().
+that tell the classes apart most, fitted on at most MAX_DOCS labelled rows (a parameter, with quality_crf.MAX_BYTES),
+chosen by a hash of doc_id.
+
+Steps end when every total is within ENOUGH (a share of all words) of its goal. Whether they are is told: target_met is
+false in every row where a domain's target can't be reached by nonnegative rates, as where no document has a share in
+it, and the rates are those that come nearest. A caller may bound how often a domain is repeated (most); its goal is
+then what it has times that, and target_met holds the total against the target itself, not against that goal.
+
+Null or empty text: no words; it counts for nothing, and has a rate like any other. Null doc_id: kept. Very long texts:
+one text's words are held at a time. Ties: documents of equal posteriors have equal rates; resample() rounds each by a
+hash of (doc_id, text). Repeated rows: each alike. Empty table: no rows. Extra columns: kept by resample(), whatever
+their names, not read by rates().
 """
 
 from __future__ import annotations
@@ -23,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import fresh, slices, written
 from .features import LINE_FEATURES, Texts
 from .quality_crf import labelled_sample
 
@@ -111,17 +120,17 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model
     return fit([np.frombuffer(bytes(r["places"]), "<i4") for r in rows], means, [r["label"] for r in rows])
 
 
-def with_posteriors(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with mix_words (long) and mix_p (array of posteriors, in the order of DOMAINS)."""
+def with_posteriors(docs: DataFrame, model: Model, words: str = "mix_words", p: str = "mix_p") -> DataFrame:
+    """docs with two more columns: words (long) and posteriors (array, in the order of DOMAINS)."""
     columns, kinds = docs.columns, dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             x, n = _inputs(batch.column("text").to_pylist(), model.words)
-            p = _softmax(x @ model.weights)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(n.astype(np.int64)), pa.array(list(p), pa.list_(pa.float64()))], names=[*columns, "mix_words", "mix_p"])
+            shares = _softmax(x @ model.weights)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(n.astype(np.int64)), pa.array(list(shares), pa.list_(pa.float64()))], names=[*columns, words, p])
 
-    return docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", mix_words long, mix_p array<double>")
+    return docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + f", `{words}` long, `{p}` array<double>")
 
 
 def rate(p: Column, steps: list[list[float]]) -> Column:
@@ -133,57 +142,62 @@ def rate(p: Column, steps: list[list[float]]) -> Column:
     return F.aggregate(given, F.lit(1.0), moved)
 
 
-def goals(have: np.ndarray, targets: dict[str, float], budget: float, most: float, most_bad: float | None = None) -> np.ndarray:
-    """Words of each domain: its target's share of the budget, but no more than `most` times what it has (most_bad for
-    all but clean). What a scarce domain can't give makes the mix smaller; no other domain is raised for it."""
-    want = np.array([targets[d] for d in DOMAINS], float)
+class Fit(NamedTuple):
+    steps: list[list[float]]
+    goal: np.ndarray  # of each domain, over all words
+    got: np.ndarray
+    met: bool  # whether the totals are the targets
+
+
+def goals(have: np.ndarray, targets: dict[str, float], budget: float, most: float | None, most_bad: float | None = None) -> np.ndarray:
+    """Words of each domain: its target's share of the budget and, if most is given, no more than that many times what
+    it has (most_bad for all but clean). What a scarce domain can't give makes the mix smaller; no other is raised for it."""
+    want = np.array([targets[d] for d in DOMAINS], float) * budget
+    if most is None:
+        return want
     limit = np.array([most if d == "clean" or most_bad is None else most_bad for d in DOMAINS])
-    return np.minimum(want * budget, np.where(have > 1e-12, have * limit, 0.0))
+    return np.minimum(want, np.where(have > 1e-12, have * limit, 0.0))
 
 
-def fit_rates(scored: DataFrame, targets: dict[str, float], budget: float = 1.0, most: float = 4.0, most_bad: float | None = None) -> list[list[float]]:
-    """Steps whose fold meets the targets over a written table with mix_words and mix_p. budget: words of the mix over
+def fit_rates(scored: DataFrame, targets: dict[str, float], budget: float = 1.0, most: float | None = None, most_bad: float | None = None, words: str = "mix_words", p: str = "mix_p") -> Fit:
+    """Steps whose fold meets the targets over a written table with words and posteriors. budget: words of the mix over
     words there are. most: how often a domain may be repeated on the whole."""
-    k = len(DOMAINS)
-    p, n = F.col("mix_p"), F.col("mix_words").cast("double")
-    gram_of = [F.sum(n * p[a] * p[b]) for a in range(k) for b in range(k)]
-    first = scored.agg(F.sum(n), *gram_of, *[F.sum(n * p[a]) for a in range(k)]).first()
-    total = first[0] or 0.0
+    k, r = len(DOMAINS), F.col(rate_name := fresh([words, p], "mix_rate"))
+    share, n = F.col(p), F.col(words).cast("double")
+    sums = [F.sum(n), *[F.sum(n * r * share[a]) for a in range(k)], *[F.sum(F.when(r > 0, n * share[a] * share[b])) for a in range(k) for b in range(k)]]
+
+    def totals(steps: list[list[float]]) -> tuple[float, np.ndarray, np.ndarray]:
+        got = np.array([x or 0.0 for x in scored.withColumn(rate_name, rate(share, steps)).agg(*sums).first()])
+        return got[0], got[1 : 1 + k] / max(got[0], 1), got[1 + k :].reshape(k, k) / max(got[0], 1)
+
+    total, have, gram = totals([])
     if not total:
-        return []
-    gram = np.array([x or 0.0 for x in first[1 : 1 + k * k]]).reshape(k, k) / total
-    have = np.array([x or 0.0 for x in first[1 + k * k :]]) / total
-    weight = np.linalg.pinv(gram + 1e-9 * np.eye(k))
-    goal = goals(have, targets, budget, most, most_bad)
-    steps: list[list[float]] = []
-    for _ in range(STEPS):
-        miss = have - goal
-        if np.abs(miss).max() <= ENOUGH:
-            break
-        steps.append((weight @ miss).tolist())
-        r = rate(p, steps)
-        got = scored.agg(*[F.sum(n * r * p[a]) for a in range(k)]).first()
-        have = np.array([x or 0.0 for x in got]) / total
-    return steps
+        return Fit([], np.zeros(k), np.zeros(k), False)
+    goal, steps = goals(have, targets, budget, most, most_bad), []
+    while np.abs(miss := have - goal).max() > ENOUGH and len(steps) < STEPS:
+        steps.append((np.linalg.pinv(gram + 1e-9 * np.eye(k)) @ miss).tolist())
+        _, have, gram = totals(steps)
+    want = np.array([targets[d] for d in DOMAINS], float) * budget
+    return Fit(steps, goal, have, bool(np.abs(have - want).max() <= 10 * ENOUGH))
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_docs: int = MAX_DOCS) -> DataFrame:
-    """doc_id, n_words, p_clean, p_junk, p_toxic, rate of every document."""
+    """doc_id, n_words, p_clean, p_junk, p_toxic, rate, target_met of every document."""
     model = train(docs, labels, max_docs)
     small = with_posteriors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select("doc_id", "mix_words", "mix_p")
     scored = written(small, "posteriors")
-    steps = fit_rates(scored, targets)
-    return scored.select("doc_id", F.col("mix_words").alias("n_words"), *[F.col("mix_p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], rate(F.col("mix_p"), steps).alias("rate"))
+    fit_ = fit_rates(scored, targets)
+    return scored.select("doc_id", F.col("mix_words").alias("n_words"), *[F.col("mix_p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], rate(F.col("mix_p"), fit_.steps).alias("rate"), F.lit(fit_.met).alias("target_met"))
 
 
-def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float = 1.0, most: float = 4.0, seed: int = 7, most_bad: float | None = None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float = 1.0, most: float | None = None, seed: int = 7, most_bad: float | None = None) -> DataFrame:
     """docs, each row as often as its rate says: floor(rate) times, and once more for those whose hash of (doc_id,
     text) falls below the rest of the rate."""
     columns = docs.columns
-    scored = written(with_posteriors(docs, train(docs, labels)), "posteriors")
-    steps = fit_rates(scored, targets, budget, most, most_bad)
-    r = rate(F.col("mix_p"), steps)
+    words, p, many, which = (fresh(columns, n) for n in ("mix_words", "mix_p", "mix_copies", "mix_copy"))
+    scored = written(with_posteriors(docs, train(docs, labels), words, p), "posteriors")
+    r = rate(F.col(p), fit_rates(scored, targets, budget, most, most_bad, words, p).steps)
     uniform = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11) / F.lit(float(1 << 53))
     copies = F.floor(r) + (uniform < r - F.floor(r)).cast("int")
-    dealt = scored.withColumn("mix_copies", copies.cast("int")).filter("mix_copies > 0")
-    return dealt.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*columns)
+    dealt = scored.withColumn(many, copies.cast("int")).filter(F.col(many) > 0)
+    return dealt.withColumn(which, F.explode(F.sequence(F.lit(1), F.col(many)))).select(*columns)

@@ -6,11 +6,14 @@ transition weights; forward-backward gives each line's marginal, and the length-
 
 Only documents are labelled, so training is in rounds: at first a line has its document's label; then lines of bad
 documents that the model itself holds good by a clear margin are relabelled (one line of each stays bad), and the
-field is fitted again. Training reads at most MAX_DOCS labelled documents, chosen by a hash of doc_id, as line
-statistics; this bound is a parameter. Scoring reads every document whole.
+field is fitted again. Training reads at most MAX_DOCS labelled rows of at most MAX_BYTES in all (a line counting 64
+bytes more), chosen by a hash of doc_id, as line statistics; both bounds are parameters, and hold whatever the texts'
+lengths and however often an id occurs. Scoring reads every document whole.
 
 Inputs of a score: the text alone. Null or empty text: one line without words. Null doc_id: never labelled, scored.
-Repeated rows: each alike; contradicting labels count each. No labelled rows of either class: every score is the
+Very long texts: one
+text's lines are held at a time. Ties: equal hashes are in order of doc_id, label and text. Repeated rows: scored alike,
+and learnt from once; contradicting labels count each. No labelled rows of either class: every score is the
 share of label 1 (0.5 without any). Empty table: no rows. Extra columns: kept by keep_good(), not read by score().
 """
 
@@ -21,13 +24,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices
 from .features import LINE_FEATURES, Lines, Texts
 
-MAX_DOCS = 6000
+MAX_DOCS, MAX_BYTES = 6000, 1 << 26
 OUT = "doc_id long, held_out boolean, score double, predicted int"
 _N = 3 * len(LINE_FEATURES) + 3
 
@@ -127,13 +130,20 @@ def fit(t: Lines | None, quality: list[int]) -> Model:
     return Model(w, moves, slope, shift)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, max_docs: int) -> DataFrame:
-    """doc_id, label, text of at most max_docs labelled rows outside the held-out third, in a fixed order. The choice is
-    made on labels and ids alone."""
-    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).filter("doc_id is not null and label is not null").filter(~held_out(F.col("doc_id")))
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    chosen = chosen.join(known, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_docs)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # max_docs rows of two numbers
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, max_docs: int, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """doc_id, label, text of at most max_docs labelled rows outside the held-out third, in a fixed order, as far as
+    max_bytes go. The choice is made on labels, ids, and hashes and sizes of texts."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).filter("doc_id is not null and label is not null").filter(~held_out(F.col("doc_id"))).distinct()
+    text = F.coalesce("text", F.lit(""))
+    lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), (F.octet_length(text) + 64 * lines).alias("size"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("label"), F.col("text_hash")]
+    chosen = sizes.join(known, "doc_id").distinct().orderBy(*order).limit(max_docs)
+    # max_docs rows of four numbers
+    used = F.sum("size").over(Window.orderBy(*order))
+    chosen = chosen.withColumn("used", used).filter(F.col("used") <= max_bytes).select("doc_id", "text_hash", "label")
+    return rows.join(F.broadcast(chosen), ["doc_id", "text_hash"]).groupBy("doc_id", "label", "text_hash").agg(F.first("text").alias("text")).select("doc_id", "label", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
