@@ -20,8 +20,10 @@ from array import array
 _CHUNK = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
 _PLAIN = re.compile(" ?[\x21-\x7e¡-ɏ‐-‧]*").fullmatch
 _SPACE = re.compile(r"(?!^ )\s").search
+#: Marks that are a piece of their own at a word's end.
+_MARKS = frozenset(".,;:!?")
 #: Entries of each generation of each cache; the older of two goes when the younger is full.
-CACHE_ENTRIES = 280_000
+CACHE_ENTRIES = 400_000
 
 
 def _latin(kind: str) -> str:
@@ -61,16 +63,14 @@ class _Odd(Exception):
 
 
 class Encoder:
-    """encode() gives a whole text's ids as little-endian unsigned 32-bit integers. plain: special tokens in a text are
-    words like any other (the library's encode_special_tokens); otherwise as the file has it."""
+    """encode() gives a whole text's ids as little-endian unsigned 32-bit integers, as the library has them."""
 
-    def __init__(self, path: str, plain: bool = True):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = plain
-        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain and t.special)]
+        added = self.tokenizer.get_added_tokens_decoder().values()
         # of normalized ones the case may be folded
         told = [rf"(?i:{re.escape(t.content)})" if t.normalized else re.escape(t.content) for t in added]
         self.added = re.compile("|".join(told)).search if told else None
@@ -85,7 +85,9 @@ class Encoder:
         if spec.get("normalizer") is None and has(pre, type="ByteLevel", add_prefix_space=False, use_regex=True):
             self.cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^\s{letters}{numbers}]+").findall
             self.normal, self._encode = None, self._spaced
-            self.first, self.rest = Cache(lambda w: self._word(w)), Cache(lambda w: self._word(f" {w}"))
+            letters_alone = lambda w: w.isascii() and w.isalpha()
+            self.first = Cache(lambda w: self._ids(w) if letters_alone(w) else self._word(w))
+            self.rest = Cache(lambda w: self._ids(f"\u0120{w}") if letters_alone(w) else self._word(f" {w}"))
             self.newline = self._whole("\n")
         elif len(parts) == 2 and has(parts[0], type="Split", behavior="Removed", invert=True) and has(parts[1], type="ByteLevel", add_prefix_space=False, use_regex=False):
             pattern = parts[0]["pattern"]["Regex"].replace("\\p{L}", letters).replace("\\p{N}", numbers)
@@ -94,7 +96,8 @@ class Encoder:
             steps = [(n["type"], n.get("pattern"), n.get("content")) for n in (spec.get("normalizer") or {}).get("normalizers", [])]
             usual = [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
             self.normal, self._encode = str.lower if steps == usual else self.tokenizer.normalizer.normalize_str, self._unspaced
-            self.first = Cache(lambda w: self._word(w.decode()))
+            folds = self.normal is str.lower
+            self.first = Cache(lambda w: self._ids(w.lower().decode()) if folds and w.isalpha() else self._word(w.decode()))
         else:
             self._encode = self._whole
         self.pieces = Cache(self._piece)
@@ -103,20 +106,29 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        known = piece.replace(" ", "\u0120") if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
-        return array("I", [t.id for t in self.model.tokenize(known)]).tobytes()
+        return self._ids(piece.replace(" ", "\u0120") if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS))
+
+    def _ids(self, known: str) -> bytes:
+        """Of a piece in the byte-level alphabet."""
+        got = self.model.tokenize(known)
+        return array("I", [t.id for t in got] if len(got) > 1 else (got[0].id,)).tobytes()
 
     def _word(self, word: str) -> bytes:
         if not _PLAIN(word):
             if self.normal is None and _SPACE(word):
                 raise _Odd
             return self._whole(word)
+        key, bare = word, word.removeprefix(" ")
         if self.normal:
             word = self.normal(word)
-        elif word in ("", " "):
+        elif not bare:
             raise _Odd
-        pieces = self.pieces
-        return pieces[word] if word.removeprefix(" ").isalpha() else b"".join([pieces[p] for p in self.cut(word)])
+        if word.removeprefix(" ").isalpha():
+            return self._piece(word)
+        if word[-1] in _MARKS and word[:-1].removeprefix(" ").isalpha():  # the word itself is in use, too
+            known = self.first if key == bare else self.rest
+            return known[bare[:-1].encode() if self.normal else bare[:-1]] + self.pieces[word[-1]]
+        return b"".join([self.pieces[p] for p in self.cut(word)])
 
     def _spaced(self, text: str) -> bytes:
         """For pieces that begin with the space before them."""
@@ -156,5 +168,5 @@ _encoders: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """The library's own ids, by one encoder for each Python worker and file."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path, plain=False)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
