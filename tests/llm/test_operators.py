@@ -58,9 +58,7 @@ def tokenizers():
 
     found = {}
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        t = Tokenizer.from_file(tokenizer_path(name))
-        t.encode_special_tokens = True
-        found[name] = t
+        found[name] = Tokenizer.from_file(tokenizer_path(name))
     return found
 
 
@@ -68,15 +66,19 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_token_ids_equal_the_librarys(rows, tokenizers):
-    from foliant.llm.tokens import Encoder
+def test_token_ids_equal_the_librarys(rows, tokenizers, monkeypatch):
+    from foliant.llm import tokens
 
-    odd = ["a  b", "a\n\nb \n c", "  lead", "\t\tx", "it's don't ' s", "İstanbul ΣΑΣ", "!\x1c! a\x1c b \x85 z", "日本語 テキスト 1234", "<|endoftext|> x", "ẞß ſ K", "12 345  6", "²³ x² 4½", " "]
+    r = random.Random(11)
+    odd = ["a  b", "a\n\nb \n c", "  lead", "\t\tx", "it's don't ' s", "İstanbul ΣΑΣ", "!\x1c! a\x1c b \x85 z", "日本語 テキスト 1234", "<|endoftext|> x", "ẞß ſ K", "12 345  6", "²³ x² 4½", " ", "İi. Ii, ǅx! éé. ªº; a.b. .a", None, ""]
+    odd += [" ".join("".join(r.choices("abcdeéßœİ.,!'-3", k=r.randint(1, 9))) for _ in range(60)) + "\n" * (k % 3) for k in range(60)]
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 300)
     for name, tokenizer in tokenizers.items():
-        e = Encoder(tokenizer_path(name))
-        for text in odd + [r[1] for r in rows]:
-            want = tokenizer.encode(text or "", add_special_tokens=False).ids
-            assert np.frombuffer(e.encode(text), "<u4").tolist() == want, repr(text)
+        texts = odd + [x[1] for x in rows]
+        want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        e = tokens.Encoder(tokenizer_path(name))
+        for order in (slice(None), slice(None, None, -1)):
+            assert [np.frombuffer(e.encode(t), "<u4").tolist() for t in texts[order]] == want[order]
 
 
 def test_added_tokens_are_the_librarys(spark):
@@ -210,10 +212,9 @@ def test_simhash(docs, rows, none, radius):
     fp = {}
     for i, text, *_ in rows:
         fp.setdefault(plain_simhash(text, 4), []).append(i)
-    nodes = {f: min(x for x in ids if x is not None) for f, ids in fp.items() if any(x is not None for x in ids)}
-    by_node = {v: k for k, v in nodes.items()}
-    classes = plain_components(list(by_node), lambda a, b: (by_node[a] ^ by_node[b]).bit_count() <= radius)
-    want = Counter((i, f"{f:016x}", classes[nodes[f]] if f in nodes else None) for f, ids in fp.items() for i in ids)
+    classes = plain_components(list(fp), lambda a, b: (a ^ b).bit_count() <= radius)
+    least = {c: min((i for f, ids in fp.items() if classes[f] == c for i in ids if i is not None), default=None) for c in set(classes.values())}
+    want = Counter((i, f"{f:016x}", least[classes[f]]) for f, ids in fp.items() for i in ids)
     assert Counter(tuple(g) for g in got) == want
     assert simhash.near_duplicates(none).count() == 0
 
@@ -231,12 +232,20 @@ def test_blocks_and_tiles_lose_no_link(spark):
     r = np.random.default_rng(5)
     base = r.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = np.unique(np.concatenate([base, *[base ^ np.uint64((1 << a) | (1 << b)) for a, b in ((3, 50), (7, 9), (0, 62))], r.integers(0, 1 << 63, 400, dtype=np.uint64)]))
-    frame = spark.createDataFrame([(bytes(f.tobytes()), i) for i, f in enumerate(fps)], "fp binary, node long")
-    links = {(x["u"], x["v"]) for x in simhash.near_links(frame, 4, block=16).collect()}
-    near = lambda a, b: int(fps[a] ^ fps[b]).bit_count() <= 4
-    want = plain_components(range(len(fps)), near)
-    got = plain_components(range(len(fps)), lambda a, b: (a, b) in links or (b, a) in links)
-    assert got == want
+    frame = spark.createDataFrame([(bytes(f.tobytes()), i, 1 + i % 90) for i, f in enumerate(fps)], "fp binary, node long, size long")
+    for radius, least in ((4, None), (9, None), (21, None), (24, 0.8)):  # groups of bits, counts, counts, sizes
+        for block in (16, 1 << 15):
+            links = {(x["u"], x["v"]) for x in simhash.near_links(frame, radius, block=block, least=least).collect()}
+            near = lambda a, b: int(fps[a] ^ fps[b]).bit_count() <= radius and (not least or min(a % 90, b % 90) + 1 >= least * (max(a % 90, b % 90) + 1))  # noqa: E731, B023
+            want = plain_components(range(len(fps)), near)
+            assert plain_components(range(len(fps)), lambda a, b: (a, b) in links or (b, a) in links) == want and len(set(want.values())) < len(fps)  # noqa: B023
+
+
+def test_a_fingerprint_without_id_links_others(spark, monkeypatch):
+    fps = {1: 0, None: 0xF, 3: 0xFF, 9: 0xFFFFFFFF, 7: 0xFFFFFFFF}
+    prints = spark.createDataFrame([(i, f.to_bytes(8, "little")) for i, f in fps.items()], "doc_id long, fp binary")
+    got = {x["doc_id"]: x["component_id"] for x in simhash.with_components(prints, 4, 1).collect()}
+    assert got == {1: 1, None: 1, 3: 1, 9: 7, 7: 7}
 
 
 def test_one_of_each_keeps_columns_and_one_row(docs, rows):
@@ -248,6 +257,19 @@ def test_one_of_each_keeps_columns_and_one_row(docs, rows):
     assert all(i is None or ((dict((a, b) for a, b, *_ in rows)[i] or "").strip() == "" or texts[dict((a, b) for a, b, *_ in rows)[i]] == i) for i in ids)
 
 
+def test_one_of_each_with_clashing_names_and_no_ids(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "FILTER_BUCKETS", 3)
+    r = random.Random(2)
+    base = [f"w{r.randrange(10**6)}" for _ in range(90)]
+    near = " ".join([*base[:-1], "x"])
+    rows = [(5, " ".join(base), 1, "a"), (None, near, 2, "b"), (4, near, 3, "c"), (4, near, 3, "c"), (None, None, 4, "d"), (8, "", 5, "e"), (9, "one other", 6, "f"), (None, "no id", 7, "g"), (None, "no id", 7, "g")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, row_tie int, component string")
+    kept = simhash.one_of_each(table)
+    assert kept.columns == table.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(4, near, 3, "c"), (8, "", 5, "e"), (9, "one other", 6, "f"), (None, "no id", 7, "g")], key=str)
+    assert simhash.one_of_each(table.limit(0)).count() == 0
+
+
 def test_one_of_each_links_by_the_exact_likeness_of_sets(spark):
     r = random.Random(8)
     words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
@@ -264,10 +286,10 @@ def test_one_of_each_links_by_the_exact_likeness_of_sets(spark):
     want = plain_components(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     assert {x["doc_id"] for x in simhash.one_of_each(table).collect()} == set(want.values())
-    split = spark.createDataFrame([(0, i, np.zeros(4, "<u8").tobytes(), np.unique([hash(x) & (1 << 63) - 1 for x in s]).astype("<u8").tobytes()) for i, s in enumerate(sets)], "component long, node long, fp binary, shingles binary")
+    split = spark.createDataFrame([(0, i, len(s), np.zeros(4, "<u8").tobytes(), np.unique([hash(x) & (1 << 63) - 1 for x in s]).astype("<u8").tobytes()) for i, s in enumerate(sets)], "component long, node long, size long, fp binary, shingles binary")
     from foliant.llm.components import connected_components
 
-    links = simhash.verified_links(split, 64, 4, 0.8, block=16)
+    links = simhash.verified_links(split, 64, 4, 0.8, block=4000)
     assert {x["node"]: x["component"] for x in connected_components(links).collect()} == {a: b for a, b in want.items() if list(want.values()).count(b) > 1}
 
 
@@ -336,17 +358,82 @@ def test_each_statistic_can_reject(spark):
     assert sum(x["kept"] for x in got.values()) >= 300
 
 
+P = len(robust_outliers.STATISTICS)
+FLOORS = np.array([x for _, x in robust_outliers.STATISTICS])
+
+
+def plain_moments(x, scale=1.0):
+    c = np.cov(x.T, bias=True).reshape(P, P) * scale
+    c[np.diag_indices(P)] = np.maximum(np.diag(c), FLOORS**2)
+    return x.mean(0), c
+
+
+def plain_distance(x, m, c):
+    factor = np.linalg.cholesky(c)
+    return (np.linalg.solve(factor, (x - m).T) ** 2).sum(0), 2 * np.log(np.diag(factor)).sum()
+
+
+def plain_mcd(x):
+    """Squared distances by the estimate of one group's rows."""
+    chi, cdf = robust_outliers.chi_square, robust_outliers._chi_square_cdf
+    at = lambda v, p: np.sort(v, axis=0)[max(0, int(np.ceil(p * len(x) - 1e-9)) - 1)]
+    med = at(x, 0.5)
+    s = np.maximum(at(np.abs(x - med), 0.5) * 1.4826, FLOORS)
+    far = (np.abs(x - med) / s).max(1)
+    ends = []
+    for m, c in ((med, np.diag(s**2)), plain_moments(x), plain_moments(x[far <= at(far, 0.5)])):
+        for _ in range(40):
+            d, _ = plain_distance(x, m, c)
+            m, c = plain_moments(x[d <= at(d, 0.75)], 0.75 / cdf(chi(0.75, P), P + 2))
+        ends.append((round(plain_distance(x, m, c)[1], 6), len(ends), m, c))
+    _, _, m, c = min(ends, key=lambda e: e[:2])
+    m, c = plain_moments(x[plain_distance(x, m, c)[0] <= chi(0.975, P)], 0.975 / cdf(chi(0.975, P), P + 2))
+    return m, c
+
+
+def test_kept_is_that_of_a_plain_estimate(spark):
+    r = random.Random(31)
+    word = lambda k: "".join(r.choices("abcdefghij", k=max(1, round(r.gauss(k, 2)))))
+    rows = []
+    for g, (lang, source, n, size) in enumerate([("en", "a", 60, 5), ("en", "b", 25, 6), ("de", "a", 40, 8), ("de", "c", 10, 8), ("de", None, 24, 8), (None, "a", 3, 5)]):
+        for k in range(n):
+            words = [word(size + 6 * (k % 11 == 10)) + "#" * (k % 13 == 12) for _ in range(r.randint(55, 160))]
+            lines = [" ".join(words[i : i + 12]) for i in range(0, len(words), 12)]
+            rows.append((len(rows), "\n".join(lines + lines[: r.choice([0, 0, 0, 1, 4])]), lang, source, 1 + g))
+    rows.append((len(rows), "too short", "en", "a", 0))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, grp long").repartition(5)
+    got = {x["doc_id"]: x for x in robust_outliers.apply_rules(table).collect()}
+    vectors = {}
+    for i, text, lang, source, _ in rows:
+        n, chars, symbols, dup, again = plain_rules(text)
+        if n >= 50 and 100 * again <= 50 * n:
+            all_lines = sum(bool(WORD.search(x)) for x in text.split("\n"))
+            vectors[i] = (lang, source), np.array([np.log1p(n), chars / n, np.log1p(100 * symbols / chars), np.log1p(10 * dup / all_lines), np.log1p(10 * again / n)])
+    of = lambda test: np.array([x for g, x in vectors.values() if test(g)])
+    cut, seen = robust_outliers.chi_square(robust_outliers.CUT, P), Counter()
+    for i, ((lang, source), x) in vectors.items():
+        level, rest = ("group", of(lambda g: g == (lang, source)))  # noqa: B023
+        if len(rest) < 25:
+            level, rest = ("language", of(lambda g: g[0] == lang))  # noqa: B023
+        if len(rest) < 25:
+            level, rest = "all", of(lambda g: True)
+        d = plain_distance(np.array([x]), *plain_mcd(rest))[0][0]
+        assert got[i]["level"] == level and abs(got[i]["distance2"] - d) <= 1e-6 * max(1, d) and got[i]["kept"] == (d <= cut)
+        seen[level, bool(d <= cut)] += 1
+    assert not got[len(rows) - 1]["kept"] and {k for k, _ in seen} == {"group", "language", "all"} and min(seen["group", True], seen["group", False], seen["language", False]) > 3
+
+
 def test_distances_match_numpy(spark):
     r = np.random.default_rng(2)
     x = r.normal(size=(3000, 5)) @ np.diag([1, 0.5, 2, 1, 1]) + [5, 5, 1, 0, 0]
     x[:150] += 25
     frame = spark.createDataFrame([(int(i), "g", *map(float, v)) for i, v in enumerate(x)], "i long, grp string, " + ", ".join(f"{n} double" for n, _ in robust_outliers.STATISTICS)).repartition(4)
-    estimate = robust_outliers.estimates(frame)
+    estimate, small = robust_outliers.estimates(frame)
     e = estimate.first()
     mean = np.array([e[f"m{i}"] for i in range(5)])
     low = np.array([[e[f"l{i}_{j}"] if j <= i else 0 for j in range(5)] for i in range(5)])
-    assert np.abs(mean - [5, 5, 1, 0, 0]).max() < 0.15
-    got = {q["i"]: q["d2"] for q in robust_outliers._distances(frame, estimate).collect()}
+    assert np.abs(mean - [5, 5, 1, 0, 0]).max() < 0.15 and np.abs(np.sqrt(np.diag(low @ low.T)) - [1, 0.5, 2, 1, 1]).max() < 0.1
+    got = {q["i"]: q["d2"] for q in robust_outliers._distances(frame, estimate, small).collect()}
     want = (np.linalg.solve(low, (x - mean).T) ** 2).sum(0)
     assert np.allclose([got[i] for i in range(len(x))], want)
     cut = robust_outliers.chi_square(1 - 1e-9, 5)
@@ -491,6 +578,92 @@ def test_mixing_meets_targets(spark, docs, none):
     assert mixing.rates(none, labels, targets).count() == 0
 
 
+def test_rates_are_those_of_a_plain_descent(spark):
+    r = np.random.default_rng(7)
+    p = r.dirichlet([2, 1, 0.5], 400)
+    n = r.integers(0, 300, 400)
+    scored = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "mix_words long, mix_p array<double>")
+    targets = {"clean": 0.9, "junk": 0.08, "toxic": 0.02}
+    fitted = mixing.fit_rates(scored, targets)
+    got = {tuple(x["mix_p"]): x["r"] for x in scored.select("mix_p", mixing.rate(F.col("mix_p"), fitted.steps).alias("r")).collect()}
+    goal, rates = np.array([0.9, 0.08, 0.02]) * n.sum(), np.ones(400)
+    for _ in range(40):
+        miss, gram = (p * (n * rates)[:, None]).sum(0) - goal, (p * (n * (rates > 0))[:, None]).T @ p
+        if np.abs(miss).max() <= 1e-6 * n.sum():
+            break
+        rates = np.maximum(0, rates - p @ np.linalg.solve(gram, miss))
+    print("steps", len(fitted.steps))
+    assert fitted.met and (rates == 0).any() and np.allclose([got[tuple(x)] for x in p.tolist()], rates, atol=1e-4)
+    far = mixing.fit_rates(scored, {"clean": 0.0, "junk": 1.0, "toxic": 0.0})
+    assert not far.met  # no document is junk alone
+    assert not mixing.fit_rates(scored.limit(0), targets).met
+
+
+def test_resample_with_clashing_names(spark):
+    r = random.Random(3)
+    rows = [(i, bad(r) if i % 3 == 0 else good(r), 1, [0.5], 2, "x", i) for i in range(90)] + [(None, None, 1, None, 2, None, 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, mix_words int, mix_p array<double>, mix_copies int, MIX_COPY string, n int")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    out = mixing.resample(table, labels, {"clean": 0.9, "junk": 0.1, "toxic": 0.0}, most=2.0)
+    assert out.columns == table.columns and {tuple(x)[2:3] for x in out.collect()} == {(1,)}
+    assert mixing.resample(table.limit(0), labels, {"clean": 0.9, "junk": 0.1, "toxic": 0.0}).count() == 0
+
+
+def test_sample_keeps_its_bounds(spark):
+    rows = [(i, f"text {i}\n" * (i + 1)) for i in range(40)] + [(7, "a copy of an id")] * 300 + [(8, "other")] * 3
+    table, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame([(i, i % 2) for i in range(40)] + [(8, 1)], "doc_id long, quality int")
+    every = [tuple(x) for x in quality_crf.labelled_sample(table, labels, "quality", 1000).collect()]
+    used = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert Counter(every) == Counter({(i, q, t) for i, t in rows for j, q in [*((k, k % 2) for k in range(40)), (8, 1)] if i == j and i in used})
+    some = quality_crf.labelled_sample(table, labels, "quality", 1000, 4000).collect()
+    assert 0 < len(some) < len(every) and sum(len(x["text"]) + 64 * (x["text"].count("\n") + 1) for x in some) <= 4000
+    assert quality_crf.labelled_sample(table, labels, "quality", 5).count() == 5
+
+
+def plain_line(line):
+    raw = line.encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", raw) if w]
+    full, some = max(1, sum(map(len, words)) + 0), max(1, len(words))
+    letters = [b for b in raw if chr(b).isalpha() and b < 128]
+    upper, count = sum(65 <= b <= 90 for b in raw), lambda chars: sum(b in chars for b in raw)
+    lower = [w.lower() for w in words]
+    return [
+        min(1, 4 * count(b"#*$%&|<>@^~_=+\\{}[]") / full), upper / max(1, len(letters)) * min(1, max(1, len(letters)) / 12), sum(a == b for a, b in zip(lower, lower[1:], strict=False)) / some,
+        min(1, 2 * count(b"|") / some), min(1, 4 * count(b"!?") / full), count(b"0123456789") / full, sum(b > 127 for b in raw) / full,
+        min(2, full / some / 10), np.log1p(len(words)) / 5, float(raw[-1:] in (b".", b"!", b"?")),
+    ]
+
+
+def plain_score(text, model):
+    lines = (text or "").split("\n")
+    f = [plain_line(x) for x in lines]
+    zero = [0.0] * len(f[0])
+    e = [np.exp(np.clip(np.dot([*x, *(f[i - 1] if i else zero), *(f[i + 1] if i + 1 < len(f) else zero), i == 0, i + 1 == len(f), 1], model.weights), -30, 30)) for i, x in enumerate(f)]
+    step = np.exp(np.clip(model.moves, -8, 8))
+    ahead, back = [[1.0, e[0]]], [[1.0, 1.0]]
+    for x in e[1:]:
+        a = ahead[-1]
+        ahead.append([a[0] * step[0][0] + a[1] * step[1][0], (a[0] * step[0][1] + a[1] * step[1][1]) * x])
+        ahead[-1] = [v / sum(ahead[-1]) for v in ahead[-1]]
+    for x in e[:0:-1]:
+        b = back[0]
+        back.insert(0, [step[0][0] * b[0] + step[0][1] * x * b[1], step[1][0] * b[0] + step[1][1] * x * b[1]])
+        back[0] = [v / sum(back[0]) for v in back[0]]
+    good_ = [a[0] * b[0] / (a[0] * b[0] + a[1] * b[1]) for a, b in zip(ahead, back, strict=True)]
+    size = [len(x.encode()) + 1 for x in lines]
+    share = sum(g * n for g, n in zip(good_, size, strict=True)) / sum(size)
+    return 1 / (1 + np.exp(-np.clip(model.slope * share + model.shift, -30, 30)))
+
+
+def test_scores_are_those_of_plain_loops(spark, docs, rows):
+    r = random.Random(4)
+    told = [(i, bad(r) if i % 3 == 0 else good(r)) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    model = quality_crf.train(spark.createDataFrame(told, "doc_id long, text string"), labels)
+    texts = [t for _, t in told[:60]] + [x[1] for x in rows] + ["", None, "\n\n", "A. \n b!\n\nC|d|e"]
+    assert np.allclose(quality_crf.scores(texts, model), [plain_score(t, model) for t in texts], atol=1e-9)
+
+
 def test_goals_raise_no_junk_or_toxic_text():
     got = mixing.goals(np.array([0.99, 0.006, 0.004]), {"clean": 0.985, "junk": 0.01, "toxic": 0.005}, 1.1, 1.1, 1.0)
     assert np.allclose(got, [1.0835, 0.006, 0.004])
