@@ -56,6 +56,34 @@ def as_table(spark: SparkSession, templates: list[Template]) -> DataFrame:
     return spark.createDataFrame([(t.template_id, list(t.path), t.issuer, list(t.keywords), t.fields) for t in templates], SCHEMA)
 
 
-def write_templates(made: DataFrame, folder: str) -> None:
-    """Generated templates as files, one folder for each path."""
-    made.select("content", "path").write.partitionBy("path").mode("append").text(folder)
+def existing(spark: SparkSession, folder: str) -> list[str]:
+    """The paths of the template files below a folder, relative to it; none if it isn't there."""
+    root, fs = _filesystem(spark, folder)
+    found = []
+    if fs.exists(root):
+        files, base = fs.listFiles(root, True), fs.getFileStatus(root).getPath().toUri()
+        while files.hasNext():
+            path = base.relativize(files.next().getPath().toUri()).getPath()
+            if path.endswith((".yml", ".yaml")):
+                found.append(path)
+    return sorted(found)
+
+
+def write_templates(made: DataFrame, folder: str) -> int:
+    """Generated templates (path, content) as files below a folder, each under its own path; how many. A file that is
+    there already is an error, not overwritten. Rows reach the driver one partition after the other: templates are few,
+    and any file system that Spark knows will do."""
+    spark = made.sparkSession
+    root, fs = _filesystem(spark, folder)
+    n = 0
+    for path, content in made.select("path", "content").toLocalIterator():
+        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(root, path), False)
+        out.write(content.encode())
+        out.close()
+        n += 1
+    return n
+
+
+def _filesystem(spark: SparkSession, folder: str) -> tuple:
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return root, root.getFileSystem(spark._jsc.hadoopConfiguration())
