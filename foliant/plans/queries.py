@@ -297,13 +297,13 @@ def page_concat(spark: SparkSession, sf: str) -> DataFrame:
     return join_pages(turns, "conv_id", "turn").withColumnRenamed("conv_id", "doc_id")
 
 
-@query(r"""SELECT doc_id, CASE WHEN trim(regexp_replace(lower(left(text, 40)), '[^a-z0-9]+', '_', 'g'), '_') = '' THEN 'supplier' ELSE trim(regexp_replace(lower(left(text, 40)), '[^a-z0-9]+', '_', 'g'), '_') END AS slug,
-trim(regexp_replace(text, '\s+', ' ', 'g')) AS squeezed, '''' || replace(left(text, 60), '''', '''''') || '''' AS quoted,
+@query(r"""SELECT doc_id, CASE WHEN trim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_') = '' THEN 'supplier' ELSE trim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_') END AS slug,
+trim(regexp_replace(text, '\s+', ' ', 'g')) AS squeezed, '''' || replace(text, '''', '''''') || '''' AS quoted,
 CASE WHEN length(trim(regexp_replace(text, '\s+', ' ', 'g'))) > 1200 THEN left(trim(regexp_replace(text, '\s+', ' ', 'g')), 1200) || '...' ELSE trim(regexp_replace(text, '\s+', ' ', 'g')) END AS preview FROM documents""")
 def text_functions(spark: SparkSession, sf: str) -> DataFrame:
-    """Slugs, squeezed texts, quoted texts and previews."""
+    """Slugs, squeezed texts, quoted texts and previews, of whole texts."""
     t = F.col("text")
-    return R.table(spark, sf, "documents").select("doc_id", N.slug(F.substring(t, 1, 40)).alias("slug"), squeeze(t).alias("squeezed"), N.yaml_quote(F.substring(t, 1, 60)).alias("quoted"), N.preview(F.array(t)).alias("preview"))
+    return R.table(spark, sf, "documents").select("doc_id", N.slug(t).alias("slug"), squeeze(t).alias("squeezed"), N.yaml_quote(t).alias("quoted"), N.preview(F.array(t)).alias("preview"))
 
 
 @query(r"""WITH n AS (SELECT doc_id, regexp_replace(trim(text), '\s+', ' ', 'g') AS t FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS k FROM n WHERE t <> '')
@@ -419,3 +419,75 @@ def engine_extract(spark: SparkSession, sf: str) -> DataFrame:
     docs = R.invoices(_orders(spark, sf), drop=_dropped()).select("doc_id", "text", F.col("doc_id").cast("string").cast("binary").alias("content"))
     out = Engine([R.DEMO], _Known(), Options(use_model=True)).extract(docs)
     return out.select("doc_id", "status", "route", _field("invoice_number").alias("invoice_number"), _field("invoice_date").alias("invoice_date"))
+
+
+@query(f"""SELECT o_orderkey AS doc_id, 'success' AS status, CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2', '3') THEN 'model' ELSE 'healed' END AS route,
+CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2', '3') THEN 'M-' ELSE 'ORD-' END || o_orderkey AS invoice_number, CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2', '3') THEN 1.0 ELSE o_totalprice END AS total_amount FROM orders""")
+def engine_heal(spark: SparkSession, sf: str) -> DataFrame:
+    """No template to begin with: one is made for each document, on the second request, and reads those that have all
+    that is required; the model's own response stands for the others."""
+    docs = R.invoices(_orders(spark, sf), drop=_dropped()).select("doc_id", "text", F.col("doc_id").cast("string").cast("binary").alias("content"))
+    out = Engine([], _Known(), Options(use_model=True, heal=True)).extract(docs)
+    return out.select("doc_id", "status", "route", _field("invoice_number").alias("invoice_number"), _field("total_amount").cast("double").alias("total_amount"))
+
+
+@query("""SELECT s_suppkey AS doc_id, CASE WHEN k = 0 THEN 'nl/supplier_' || n || '/template.yml' ELSE 'nl/supplier_' || n || '/template_' || k || '.yml' END AS path
+FROM (SELECT s_suppkey, s_nationkey AS n, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 + CASE WHEN s_nationkey = 3 THEN 5 ELSE 0 END AS k FROM supplier)""")
+def template_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of new templates: numbered within their supplier's folder, behind what is there."""
+    folder = F.concat(F.lit("nl/"), N.slug(F.concat(F.lit("Supplier "), F.col("s_nationkey").cast("string"))))
+    made = R.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.concat(folder, F.lit("/template.yml")).alias("path"))
+    return G.numbered(made, "doc_id", ["nl/supplier_3/template.yml", "nl/supplier_3/template_4.yml", "nl/supplier_3/template_ai_9.yml", "nl/other/template.yml"])
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2', '3') THEN 'second' ELSE 'first' END AS reader, 'success' AS status FROM orders""")
+def best_reader(spark: SparkSession, sf: str) -> DataFrame:
+    """Of two readers' texts the one that gives more; of equals the earlier."""
+    orders = _orders(spark, sf)
+    first = R.invoices(orders, drop=_dropped()).select("doc_id", "text", F.lit("first").alias("reader"), F.lit(0).alias("reader_rank"))
+    second = R.invoices(orders).select("doc_id", "text", F.lit("second").alias("reader"), F.lit(1).alias("reader_rank"))
+    return Engine([R.DEMO]).best_of_readers(first.unionByName(second)).select("doc_id", "reader", "status")
+
+
+@query("""SELECT o_orderkey AS doc_id, 'a' || (o_orderkey % 3) || '|b' || CASE WHEN o_orderkey % 2 = 0 THEN '|c d' ELSE '' END AS names, 'x+|y' AS patterns,
+CASE WHEN o_orderkey % 2 = 0 THEN 'nld+eng' ELSE 'eng' END AS language FROM orders""")
+def request_options(spark: SparkSession, sf: str) -> DataFrame:
+    """Required names from a list as typed, patterns each once, and the language that a country is read in."""
+    k = F.col("o_orderkey")
+    a = F.concat(F.lit("a"), (k % 3).cast("string"))
+    typed = F.concat(F.lit(" "), a, F.lit(" , b ,,"), a, F.when(k % 2 == 0, F.lit(",\tc d ")).otherwise(F.lit(", ")))
+    patterns = F.array(F.lit("x+"), F.lit(None), F.lit(""), F.lit("y"), F.lit("x+"))
+    return _orders(spark, sf).select(k.alias("doc_id"), F.array_join(N.required_fields(typed), "|").alias("names"), F.array_join(N.distinct_patterns(patterns), "|").alias("patterns"), N.ocr_language(F.when(k % 2 == 0, F.lit("nl")).otherwise(F.lit("BE"))).alias("language"))
+
+
+@query("""SELECT o_orderkey AS doc_id, 'INV' || o_orderkey AS number, CASE WHEN o_orderkey % 6 = 5 THEN NULL ELSE o_totalprice END AS amount, 'EUR' AS currency, strftime(o_orderdate, '%d%m%Y') AS day FROM orders""")
+def comparable_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields as they are compared when a template is held against what is expected of it."""
+    k = F.col("o_orderkey")
+    total = N.comparable("amount", R.written_amount(F.col("o_totalprice"), k % 6)).cast("double")
+    return _orders(spark, sf).select(k.alias("doc_id"), N.comparable("invoice_number", F.concat(F.lit(": INV "), k.cast("string"))).alias("number"), total.alias("amount"), N.comparable("currency_code", F.lit(" euro ")).alias("currency"), N.comparable("date", R.day(F.col("o_orderdate"), "dd/MM/yyyy")).alias("day"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'too many ' || event_id WHEN 1 THEN 'plain ' || event_id WHEN 2 THEN 'bad ' || event_id ELSE left('no json ' || event_id || ' ' || repeat('x', 600), 500) END AS error FROM events""")
+def model_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """What a model's refusal says, in one line."""
+    i, k = F.col("event_id") % 4, F.col("event_id").cast("string")
+    body = (
+        F.when(i == 0, F.concat(F.lit('{"error":{"message":" too\\n many '), k, F.lit('"}}'))).when(i == 1, F.concat(F.lit('{"message":"plain  '), k, F.lit('"}')))
+        .when(i == 2, F.concat(F.lit('{"error":"bad '), k, F.lit('"}'))).otherwise(F.concat(F.lit("no json\n"), k, F.lit(" "), F.repeat(F.lit("x"), 600)))
+    )
+    return R.table(spark, sf, "events").select("event_id", M.error_text(body).alias("error"))
+
+
+_COMPANY_LINE = f"""(length(x) BETWEEN 3 AND 60 AND NOT (contains(lower(x), 'adres') OR contains(lower(x), 'factuur') OR contains(lower(x), 'btw') OR contains(lower(x), 'kvk') OR contains(lower(x), 'iban') OR contains(lower(x), 'omschrijving') OR contains(x, '@') OR contains(lower(x), 'www.')) AND NOT {_VALUE_LINE} AND regexp_matches(x, '[A-Za-z]'))"""
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, trim(unnest(p)) AS x FROM (SELECT doc_id, string_split(text, chr(10))[1:25] AS p FROM documents)),
+s AS (SELECT doc_id, i, x, CASE WHEN length(x) < 4 OR contains(lower(x), 'factuur') OR contains(lower(x), 'btw') OR contains(lower(x), 'kvk') OR contains(lower(x), 'iban') OR contains(x, '@') OR contains(lower(x), 'www.') OR contains(lower(x), 'http') THEN -10
+WHEN length(x) > 24 AND regexp_matches(x, '[0-9]') THEN -5 ELSE greatest(0, 16 - i) + CASE WHEN {_COMPANY_LINE} THEN 10 ELSE 0 END + CASE WHEN regexp_matches(lower(x), '(^|[^\p{{L}}\p{{N}}_])(b\.?v\.?|vof|shop|company|holding|services?)($|[^\p{{L}}\p{{N}}_])') THEN 10 ELSE 0 END
++ CASE WHEN len(list_filter(string_split(x, ' '), lambda w: w <> '')) <= 5 THEN 2 ELSE 0 END END AS score FROM l WHERE x <> '')
+SELECT doc_id, max(score) AS score, arg_max(x, score * 100 - i) AS issuer FROM s WHERE score >= 0 GROUP BY doc_id""")
+def sample_issuer(spark: SparkSession, sf: str) -> DataFrame:
+    """The line that names the issuer of a sample best, by the rules for templates being made."""
+    best = R.table(spark, sf, "documents").select("doc_id", I.best_line(F.col("text"), I.generator_issuer_score, 25).alias("b"))
+    return best.filter("b is not null").select("doc_id", "b.score", F.col("b.line").alias("issuer"))
