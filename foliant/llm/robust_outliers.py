@@ -145,17 +145,25 @@ def _quantile(column: Column | str, p: float) -> Column:
     return F.percentile_approx(column, p, 10000)
 
 
-def _starts(rows: DataFrame) -> DataFrame:
-    """grp, start, m*, l*, det."""
-    med = written(rows.groupBy("grp").agg(*[_quantile(n, 0.5).alias(f"m{i}") for i, n in enumerate(_NAMES)]), "medians")
+def _told(table: DataFrame, name: str, rows: int) -> DataFrame:
+    """A table of about so many rows of a few numbers, written in as many files as it needs."""
+    return written(table.coalesce(1 + rows // 500) if rows <= BROADCAST_ROWS else table, name)
+
+
+def _few(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
+def _starts(rows: DataFrame, med: DataFrame, n: int) -> DataFrame:
+    """grp, start, m*, l*, det, from the medians of n groups."""
     off = [F.abs(F.col(n) - F.col(f"m{i}")) for i, n in enumerate(_NAMES)]
-    spread = rows.join(sized(med), "grp").groupBy("grp").agg(*[_quantile(o, 0.5).alias(f"a{i}") for i, o in enumerate(off)])
-    spread = written(spread.join(med, "grp").select("grp", *_MEANS, *[F.greatest(F.col(f"a{i}") * 1.4826, F.lit(STATISTICS[i][1])).alias(f"s{i}") for i in range(_P)]), "deviations")
+    spread = rows.join(_few(med, n), "grp").groupBy("grp").agg(*[_quantile(o, 0.5).alias(f"a{i}") for i, o in enumerate(off)])
+    spread = _told(spread.join(_few(med, n), "grp").select("grp", *_MEANS, *[F.greatest(F.col(f"a{i}") * 1.4826, F.lit(STATISTICS[i][1])).alias(f"s{i}") for i in range(_P)]), "deviations", n)
     by_median = spread.select("grp", *_MEANS, *[(F.pow(f"s{i}", F.lit(2)) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in _PAIRS])
     farthest = F.greatest(*[o / F.col(f"s{i}") for i, o in enumerate(off)])
-    far = rows.join(sized(spread), "grp").select("grp", *_NAMES, farthest.alias("far"))
-    half = written(far.groupBy("grp").agg(_quantile("far", 0.5).alias("half")), "half")
-    inner = far.join(sized(half), "grp").filter("far <= half")
+    far = rows.join(_few(spread, n), "grp").select("grp", *_NAMES, farthest.alias("far"))
+    half = _told(far.groupBy("grp").agg(_quantile("far", 0.5).alias("half")), "half", n)
+    inner = far.join(_few(half, n), "grp").filter("far <= half")
     told = [x.withColumn("start", F.lit(k)) for k, x in enumerate((by_median, _moments(rows, ["grp"]), _moments(inner, ["grp"])))]
     return _with_cholesky(told[0].unionByName(told[1]).unionByName(told[2]), ["grp", "start"])
 
@@ -164,21 +172,23 @@ def estimates(rows: DataFrame) -> tuple[DataFrame, bool]:
     """grp, m*, l*, det: the estimate of each group of a written table of statistics with grp; and whether they are few
     enough to be broadcast."""
     keys, scale = ["grp", "start"], consistency(CORE)
-    estimate = written(_starts(rows).withColumn("was", F.lit(0.0)), "estimate")
-    small = estimate.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    med = written(rows.groupBy("grp").agg(*[_quantile(n, 0.5).alias(f"m{i}") for i, n in enumerate(_NAMES)]), "medians")
+    groups = med.count()
+    n = STARTS * groups
+    estimate, small = _told(_starts(rows, med, n).withColumn("was", F.lit(0.0)), "estimate", n), n <= BROADCAST_ROWS
     for step in range(1, STEPS + 1):
         far = _distances(rows, estimate.drop("was"), small).groupBy(*keys).agg(_quantile("d2", CORE).alias("q"))
-        limits = estimate.drop("was").join(F.broadcast(far) if small else far, keys)
+        limits = estimate.drop("was").join(_few(far, n), keys)
         core = _distances(rows, limits, small).filter("d2 <= q")
         now = _with_cholesky(_moments(core, keys), keys, scale)
-        estimate = written(now.join(estimate.select(*keys, F.col("det").alias("was")), keys), "estimate")
+        estimate = _told(now.join(_few(estimate.select(*keys, F.col("det").alias("was")), n), keys), "estimate", n)
         if step % 2 == 0 and (estimate.agg(F.max(F.abs(F.col("det") - F.col("was")))).first()[0] or 0.0) <= 1e-9:
             break
     # starts that end at the same rows differ by rounding alone
     best = F.min_by(F.struct(*_MEANS, *_FACTOR, "det"), F.struct(F.round("det", 6), "start"))
-    estimate = written(estimate.groupBy("grp").agg(best.alias("e")).select("grp", "e.*"), "estimate")
+    estimate = _told(estimate.groupBy("grp").agg(best.alias("e")).select("grp", "e.*"), "estimate", groups)
     near = _distances(rows, estimate, small).filter(F.col("d2") <= chi_square(REWEIGHT, _P))
-    return written(_with_cholesky(_moments(near, ["grp"]), ["grp"], consistency(REWEIGHT)), "estimate"), small
+    return _told(_with_cholesky(_moments(near, ["grp"]), ["grp"], consistency(REWEIGHT)), "estimate", groups), small
 
 
 def with_groups(stats: DataFrame) -> DataFrame:
@@ -189,7 +199,8 @@ def with_groups(stats: DataFrame) -> DataFrame:
     n = written(stats.filter(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n")), "sizes")
     by_pair = n.filter(F.col("n") >= LEAST).select(pair.alias("pair"), F.lit(True).alias("own"))
     by_lang = n.groupBy("lang").agg(F.sum("n").alias("n_lang")).filter(F.col("n_lang") >= LEAST).select(single.alias("single"), F.lit(True).alias("of_lang"))
-    by_pair, by_lang = sized(written(by_pair, "pairs")), sized(written(by_lang, "languages"))
+    pairs = n.count()
+    by_pair, by_lang = _few(by_pair, pairs), _few(by_lang, pairs)
     out = stats.withColumn("pair", pair).withColumn("single", single).join(by_pair, "pair", "left").join(by_lang, "single", "left")
     grp = F.when(F.col("own"), F.col("pair")).when(F.col("of_lang"), F.col("single")).otherwise(F.lit(""))
     level = F.when(F.col("own"), "group").when(F.col("of_lang"), "language").otherwise("all")
