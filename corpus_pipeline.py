@@ -12,8 +12,9 @@ from foliant.llm import mixing, packing, quality_crf, secret_scan, simhash
 from foliant.llm.common import table, written
 from foliant.llm.queries import tokenizer_path
 
-#: Shares of the words of the mix; its words over those that enter the stage; and how often a domain may be repeated.
-MIX_TARGETS, MIX_BUDGET, MIX_MOST = {"clean": 0.985, "junk": 0.01, "toxic": 0.005}, 1.1, 1.1
+#: Shares of the words of the mix; its words over those that enter the stage; how often a domain or document may be
+#: repeated; and the clean posterior from which on a document is never left out.
+MIX_TARGETS, MIX_BUDGET, MIX_MOST, MIX_CLEAN = {"clean": 0.985, "junk": 0.01, "toxic": 0.005}, 1.1, 1.1, 0.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +33,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out at the rates that give each domain its share."""
-    return mixing.resample(docs, table(spark, sf_dir, "labels"), MIX_TARGETS, MIX_BUDGET, MIX_MOST, most_bad=1.0)
+    """Documents are repeated or left out at the rates that bring each domain nearest its share; clean ones all stay."""
+    return mixing.resample(docs, table(spark, sf_dir, "labels"), MIX_TARGETS, MIX_BUDGET, MIX_MOST, most_bad=1.0, bounds=mixing.Bounds(MIX_CLEAN, MIX_MOST))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

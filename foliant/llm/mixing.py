@@ -14,7 +14,10 @@ chosen by a hash of doc_id.
 Steps end when every total is within ENOUGH (a share of all words) of its goal. Whether they are is told: target_met is
 false in every row where a domain's target can't be reached by nonnegative rates, as where no document has a share in
 it, and the rates are those that come nearest. A caller may bound how often a domain is repeated (most); its goal is
-then what it has times that, and target_met holds the total against the target itself, not against that goal.
+then what it has times that, and target_met holds the total against the target itself, not against that goal. Posteriors are
+never quite 0, so clean documents together hold some of every domain, and a small target for toxic text can only be met
+by leaving clean ones out. Where that is not wanted, Bounds puts each document's rate in a box (clean: from 1 on,
+others: up to 1): the projection is then onto the box, and the totals come as near as they can.
 
 Null or empty text: no words; it counts for nothing, and has a rate like any other. Null doc_id: kept. Very long texts:
 one text's words are held at a time. Ties: documents of equal posteriors have equal rates; resample() rounds each by a
@@ -40,6 +43,9 @@ DOMAINS = ("clean", "junk", "toxic")
 #: Share of all words that each domain is to have in the mix.
 TARGETS = {"clean": 0.97, "junk": 0.02, "toxic": 0.01}
 MAX_DOCS, WORD_BITS, MAX_WORDS, STEPS, ENOUGH = 6000, 18, 512, 40, 1e-6
+#: Within bounds, steps also end when one takes off less than this share of the misses; and what is added to the Gram
+#: matrix there, so that a domain of next to no words moves nothing.
+STALL, RIDGE = 1e-3, 1e-6
 
 
 class Model(NamedTuple):
@@ -133,12 +139,27 @@ def with_posteriors(docs: DataFrame, model: Model, words: str = "mix_words", p:
     return docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + f", `{words}` long, `{p}` array<double>")
 
 
-def rate(p: Column, steps: list[list[float]]) -> Column:
+class Bounds(NamedTuple):
+    """Documents whose clean posterior is at least this have rates from 1 to most, the others from 0 to 1."""
+
+    clean: float = 0.5
+    most: float = 1.1
+
+
+def rate(p: Column, steps: list[list[float]], bounds: Bounds | None = None) -> Column:
     """The rate after the steps so far, from a document's posteriors."""
     if not steps:
         return F.lit(1.0)
     given = F.array(*[F.array(*[F.lit(float(y)) for y in step]) for step in steps])
-    moved = lambda r, y: F.greatest(F.lit(0.0), r - sum((p[d] * y[d] for d in range(len(DOMAINS))), F.lit(0.0)))
+    low, high = F.lit(0.0), None
+    if bounds is not None:
+        is_clean = p[0] >= bounds.clean
+        low, high = F.when(is_clean, 1.0).otherwise(0.0), F.when(is_clean, float(bounds.most)).otherwise(1.0)
+
+    def moved(r: Column, y: Column) -> Column:
+        there = F.greatest(low, r - sum((p[d] * y[d] for d in range(len(DOMAINS))), F.lit(0.0)))
+        return there if high is None else F.least(high, there)
+
     return F.aggregate(given, F.lit(1.0), moved)
 
 
@@ -159,23 +180,29 @@ def goals(have: np.ndarray, targets: dict[str, float], budget: float, most: floa
     return np.minimum(want, np.where(have > 1e-12, have * limit, 0.0))
 
 
-def fit_rates(scored: DataFrame, targets: dict[str, float], budget: float = 1.0, most: float | None = None, most_bad: float | None = None, words: str = "mix_words", p: str = "mix_p") -> Fit:
+def fit_rates(scored: DataFrame, targets: dict[str, float], budget: float = 1.0, most: float | None = None, most_bad: float | None = None, words: str = "mix_words", p: str = "mix_p", bounds: Bounds | None = None) -> Fit:
     """Steps whose fold meets the targets over a written table with words and posteriors. budget: words of the mix over
-    words there are. most: how often a domain may be repeated on the whole."""
+    words there are. most: how often a domain may be repeated on the whole. Within bounds the Gram matrix is that of all
+    documents, with which a step never takes the totals further off."""
     k, r = len(DOMAINS), F.col(rate_name := fresh([words, p], "mix_rate"))
     share, n = F.col(p), F.col(words).cast("double")
-    sums = [F.sum(n), *[F.sum(n * r * share[a]) for a in range(k)], *[F.sum(F.when(r > 0, n * share[a] * share[b])) for a in range(k) for b in range(k)]]
+    sums = [F.sum(n), *[F.sum(n * r * share[a]) for a in range(k)], *[F.sum(F.when(r > 0 if bounds is None else F.lit(True), n * share[a] * share[b])) for a in range(k) for b in range(k)]]
 
     def totals(steps: list[list[float]]) -> tuple[float, np.ndarray, np.ndarray]:
-        got = np.array([x or 0.0 for x in scored.withColumn(rate_name, rate(share, steps)).agg(*sums).first()])
+        got = np.array([x or 0.0 for x in scored.withColumn(rate_name, rate(share, steps, bounds)).agg(*sums).first()])
         return got[0], got[1 : 1 + k] / max(got[0], 1), got[1 + k :].reshape(k, k) / max(got[0], 1)
 
     total, have, gram = totals([])
     if not total:
         return Fit([], np.zeros(k), np.zeros(k), False)
-    goal, steps = goals(have, targets, budget, most, most_bad), []
+    goal, steps, left = goals(have, targets, budget, most, most_bad), [], np.inf
+    ridge = 1e-9 if bounds is None else RIDGE
     while np.abs(miss := have - goal).max() > ENOUGH and len(steps) < STEPS:
-        steps.append((np.linalg.pinv(gram + 1e-9 * np.eye(k)) @ miss).tolist())
+        step = np.linalg.pinv(gram + ridge * np.eye(k)) @ miss
+        if bounds is not None and miss @ step > (1 - STALL) * left:
+            break
+        left = miss @ step
+        steps.append(step.tolist())
         _, have, gram = totals(steps)
     want = np.array([targets[d] for d in DOMAINS], float) * budget
     return Fit(steps, goal, have, bool(np.abs(have - want).max() <= 10 * ENOUGH))
@@ -190,13 +217,13 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     return scored.select("doc_id", F.col("mix_words").alias("n_words"), *[F.col("mix_p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], rate(F.col("mix_p"), fit_.steps).alias("rate"), F.lit(fit_.met).alias("target_met"))
 
 
-def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float = 1.0, most: float | None = None, seed: int = 7, most_bad: float | None = None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float = 1.0, most: float | None = None, seed: int = 7, most_bad: float | None = None, bounds: Bounds | None = None) -> DataFrame:
     """docs, each row as often as its rate says: floor(rate) times, and once more for those whose hash of (doc_id,
     text) falls below the rest of the rate."""
     columns = docs.columns
     words, p, many, which = (fresh(columns, n) for n in ("mix_words", "mix_p", "mix_copies", "mix_copy"))
     scored = written(with_posteriors(docs, train(docs, labels), words, p), "posteriors")
-    r = rate(F.col(p), fit_rates(scored, targets, budget, most, most_bad, words, p).steps)
+    r = rate(F.col(p), fit_rates(scored, targets, budget, most, most_bad, words, p, bounds).steps, bounds)
     uniform = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11) / F.lit(float(1 << 53))
     copies = F.floor(r) + (uniform < r - F.floor(r)).cast("int")
     dealt = scored.withColumn(many, copies.cast("int")).filter(F.col(many) > 0)

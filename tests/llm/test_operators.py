@@ -671,3 +671,27 @@ def test_goals_raise_no_junk_or_toxic_text():
 
 def test_goals_spare_scarce_domains():
     assert np.allclose(mixing.goals(np.array([0.9, 0.0, 0.1]), {"clean": 0.985, "junk": 0.01, "toxic": 0.005}, 1.1, 1.1), [0.99, 0, 0.0055])
+
+
+def test_rates_within_bounds_spare_clean_documents(spark):
+    r = np.random.default_rng(8)
+    p = np.concatenate([r.dirichlet([60, 0.1, 1], 500), r.dirichlet([1, 0.1, 20], 60), r.dirichlet([1, 1, 1], 20)])
+    n = r.integers(0, 300, len(p))
+    scored = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "mix_words long, mix_p array<double>")
+    targets, bounds = {"clean": 0.985, "junk": 0.01, "toxic": 0.005}, mixing.Bounds(0.5, 1.1)
+    fitted = mixing.fit_rates(scored, targets, 1.1, 1.1, 1.0, bounds=bounds)
+    rows = scored.select("mix_p", mixing.rate(F.col("mix_p"), fitted.steps, bounds).alias("r")).collect()
+    got = {tuple(x["mix_p"]): x["r"] for x in rows}
+    clean = p[:, 0] >= 0.5
+    low, high = np.where(clean, 1, 0), np.where(clean, 1.1, 1)
+    share = (p * n[:, None]).sum(0) / n.sum()
+    goal = mixing.goals(share, targets, 1.1, 1.1, 1.0)
+    metric = np.linalg.inv((p * n[:, None]).T @ p / n.sum() + mixing.RIDGE * np.eye(3))
+    loss = lambda x: (m := (p * (n * x)[:, None]).sum(0) / n.sum() - goal) @ metric @ m
+    plain = np.ones(len(p))
+    for _ in range(3000):
+        plain = np.clip(plain - p @ metric @ ((p * (n * plain)[:, None]).sum(0) / n.sum() - goal), low, high)
+    rates = np.array([got[tuple(float(x) for x in b)] for b in p])
+    assert not fitted.met and (rates >= low).all() and (rates <= high + 1e-12).all()
+    assert loss(rates) <= 1.05 * loss(plain) + 1e-9
+    assert rates[p[:, 2] > 0.9].max() < 0.1
