@@ -4,8 +4,9 @@ Base rules fail a document of fewer than 50 words, or with more than half of its
 For the rest, a vector of transformed statistics (STATISTICS) is compared to a minimum-covariance-determinant estimate
 for its language and source: from three starts (medians and median deviations; the moments of all rows; those of the
 half that is nearest the medians in its farthest statistic) concentration steps, each the moments of the CORE of the
-rows that is nearest by the last, run until no determinant falls any more; the start with the smallest determinant is
-kept, and its moments are taken once more from all rows within the quantile REWEIGHT. A document is rejected if its
+rows that is nearest by the last, run until its determinant stands still; a start that has come to rest takes no further
+part. (From RANKS rows on quantiles are exact to a RANKSth of the ranks only, and cores never quite stand still: there a
+determinant whose logarithm moves by no more than STILL is at rest.) The start with the smallest determinant is kept, and its moments are taken once more from all rows within the quantile REWEIGHT. A document is rejected if its
 squared Mahalanobis distance exceeds the chi-square quantile CUT.
 
 A variance below the square of a statistic's least deviation is raised to it: of symbols, repeated lines and repeated
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, sized, written
 
-CORE, STEPS, REWEIGHT, CUT = 0.75, 40, 0.975, 0.9999
+CORE, STEPS, RANKS, STILL, REWEIGHT, CUT = 0.75, 40, 10000, 1e-4, 0.975, 0.9999
 #: name, least deviation: the last three can each pass the cut (a distance of 5.07) alone within the base rules (x_lines
 #: is at most log 11, x_repeats log 6), while one line of three that is repeated is no outlier
 STATISTICS = (("x_words", 0.05), ("x_word_length", 0.05), ("x_symbols", 0.25), ("x_lines", 0.4), ("x_repeats", 0.33))
@@ -119,13 +120,13 @@ def _with_cholesky(moments: DataFrame, keys: list[str], scale: float = 1.0) -> D
     return moments.selectExpr(*keys, *_MEANS, *factor, f"{det} AS det")  # each entry refers to those before it
 
 
-def _distances(rows: DataFrame, estimate: DataFrame, small: bool) -> DataFrame:
-    """rows for each estimate of their group, with its columns other than means and factors, and d2: the squared
+def _distances(rows: DataFrame, estimate: DataFrame, small: bool, how: str = "inner") -> DataFrame:
+    """rows (how left: also those of groups without one) for each estimate of their group, with its columns other than means and factors, and d2: the squared
     Mahalanobis distance, by forward substitution, each solved coordinate a column. small: of few enough rows."""
     z = [f"({' - '.join([f'{_NAMES[i]} - m{i}', *(f'l{i}_{k} * z{k}' for k in range(i))])}) / l{i}_{i} AS z{i}" for i in range(_P)]
     d2 = " + ".join(f"z{i} * z{i}" for i in range(_P))
     others = [c for c in estimate.columns if c not in ("grp", "det", *_MEANS, *_FACTOR)]
-    out = rows.join(F.broadcast(estimate) if small else estimate, "grp", "left")
+    out = rows.join(F.broadcast(estimate) if small else estimate, "grp", how)
     return out.selectExpr(*rows.columns, *others, *z, f"{d2} AS d2").drop(*[f"z{i}" for i in range(_P)])
 
 
@@ -141,8 +142,8 @@ def consistency(core: float) -> float:
 
 
 def _quantile(column: Column | str, p: float) -> Column:
-    """The smallest value that a share p of the rows does not exceed (its rank to a ten-thousandth)."""
-    return F.percentile_approx(column, p, 10000)
+    """The smallest value that a share p of the rows does not exceed (its rank to a RANKSth)."""
+    return F.percentile_approx(column, p, RANKS)
 
 
 def _told(table: DataFrame, name: str, rows: int) -> DataFrame:
@@ -172,17 +173,21 @@ def estimates(rows: DataFrame) -> tuple[DataFrame, bool]:
     """grp, m*, l*, det: the estimate of each group of a written table of statistics with grp; and whether they are few
     enough to be broadcast."""
     keys, scale = ["grp", "start"], consistency(CORE)
-    med = written(rows.groupBy("grp").agg(*[_quantile(n, 0.5).alias(f"m{i}") for i, n in enumerate(_NAMES)]), "medians")
+    med = written(rows.groupBy("grp").agg(*[_quantile(n, 0.5).alias(f"m{i}") for i, n in enumerate(_NAMES)], F.when(F.count("*") < RANKS, 1e-9).otherwise(STILL).alias("still")), "medians")
     groups = med.count()
     n = STARTS * groups
-    estimate, small = _told(_starts(rows, med, n).withColumn("was", F.lit(0.0)), "estimate", n), n <= BROADCAST_ROWS
-    for step in range(1, STEPS + 1):
-        far = _distances(rows, estimate.drop("was"), small).groupBy(*keys).agg(_quantile("d2", CORE).alias("q"))
-        limits = estimate.drop("was").join(_few(far, n), keys)
-        core = _distances(rows, limits, small).filter("d2 <= q")
-        now = _with_cholesky(_moments(core, keys), keys, scale)
-        estimate = _told(now.join(_few(estimate.select(*keys, F.col("det").alias("was")), n), keys), "estimate", n)
-        if step % 2 == 0 and (estimate.agg(F.max(F.abs(F.col("det") - F.col("was")))).first()[0] or 0.0) <= 1e-9:
+    small, found = n <= BROADCAST_ROWS, [*_MEANS, *_FACTOR, "det"]
+    begin = _starts(rows, med.drop("still"), n).join(_few(med.select("grp", "still"), groups), "grp")
+    estimate = _told(begin.withColumn("live", F.lit(True)), "estimate", n)
+    for _ in range(STEPS):
+        live = estimate.filter("live").select(*keys, *found)
+        far = _distances(rows, live, small).groupBy(*keys).agg(_quantile("d2", CORE).alias("q"))
+        core = _distances(rows, live.join(_few(far, n), keys), small).filter("d2 <= q")
+        was = estimate.filter("live").select(*keys, "still", F.col("det").alias("was"))
+        now = _with_cholesky(_moments(core, keys), keys, scale).join(_few(was, n), keys)
+        moved = now.withColumn("live", F.abs(F.col("det") - F.col("was")) > F.col("still")).drop("was")
+        estimate = _told(moved.unionByName(estimate.filter(~F.col("live"))), "estimate", n)
+        if estimate.filter("live").isEmpty():
             break
     # starts that end at the same rows differ by rounding alone
     best = F.min_by(F.struct(*_MEANS, *_FACTOR, "det"), F.struct(F.round("det", 6), "start"))
@@ -216,7 +221,7 @@ def apply_rules(docs: DataFrame, cut: float = CUT) -> DataFrame:
     used = passed.select(F.explode(F.array_distinct(F.array("grp", "single", F.lit("")))).alias("grp"), *_NAMES)
     estimate, small = estimates(written(used.join(sized(needed), "grp", "left_semi"), "used"))
     base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    far = _distances(rows.select(*base, "level", "grp", *_NAMES), estimate, small)
+    far = _distances(rows.select(*base, "level", "grp", *_NAMES), estimate, small, "left")
     # without any row that passes there is no estimate, and nothing to be kept
     kept = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= chi_square(cut, _P))
     return far.select(*base, kept.alias("kept"), F.col("d2").alias("distance2"), "level")
