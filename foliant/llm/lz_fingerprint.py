@@ -8,7 +8,7 @@ the cut on. Phrase dictionaries are closed under prefixes, so the longest known
 last phrase's length instead of from one byte.
 
 The next document in descending doc_id is found without a global sort in one task: ids are cut into buckets at
-quantiles, a bucket is sorted, and the first row of each bucket is also dealt to the bucket before it, behind its
+quantiles (and an id of many rows, null among them, by a hash of the text), a bucket is sorted, and the first row of each bucket is also dealt to the bucket before it, behind its
 rows. One document is held besides the one read. Null or empty text: no phrases, an all-empty signature; two such are
 alike (1), one such and another are not (0). Equal doc_ids: in order of a hash of the text. Null doc_id: last. One
 document alone is its own next. Empty table: no rows. Extra columns are not read.
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, slices
 
 BINS = 128
+LOWEST = -(1 << 63)
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -107,27 +108,39 @@ def fingerprint(text: str | None) -> str:
     return Parsed(None, text).signature.tobytes().hex()
 
 
-def _bucket(value, bounds: list[int]):
+def _bounds(ids: list[int]) -> list[tuple[int, int]]:
+    """Ascending lower ends (doc_id, inverted tie) of buckets from the quantiles of the ids; an id that is several of
+    them holds that many buckets' rows and is cut at even steps of the tie, a hash."""
+    out: list[tuple[int, int]] = []
+    for i in sorted(set(ids)):
+        many = ids.count(i)
+        out += [(i, LOWEST + (k << 64) // many) for k in range(many)]
+    return out
+
+
+def _bucket(value, bounds: list[tuple[int, int]]):
     """How many of the ascending bounds are at most value: a binary search of log2 steps."""
     if not bounds:
         return F.lit(0)
-    known, steps = F.array(*[F.lit(b) for b in bounds]), [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.get(known, at + s - 1) <= value), at + s).otherwise(at))
+    known = F.array(*[F.struct(F.lit(i).cast("long").alias("rank_id"), F.lit(t).cast("long").alias("m")) for i, t in bounds])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.get(known, at + s - 1) <= value), at + s).otherwise(at))
 
 
 def fingerprint_documents(docs: DataFrame, buckets_per_partition: int = 4) -> DataFrame:
     """The columns of OUT for each document: its own fingerprint, that of its edited text, and both likenesses."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    lowest = -(1 << 63)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rank_id", F.coalesce("doc_id", F.lit(lowest)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rank_id", F.coalesce("doc_id", F.lit(LOWEST)))
     cuts = parts * buckets_per_partition
-    bounds = sorted({int(x) for x in rows.approxQuantile("rank_id", [k / cuts for k in range(1, cuts)], 0.1 / cuts)})
-    rows = rows.withColumn("bucket", _bucket(F.col("rank_id"), bounds)).withColumn("tie", F.xxhash64("text"))
+    bounds = _bounds([int(x) for x in rows.approxQuantile("rank_id", [k / cuts for k in range(1, cuts)], 0.1 / cuts)])
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    place = F.struct(F.col("rank_id"), F.bitwise_not("tie").alias("m"))  # ascending, where documents are in descending order
+    rows = rows.withColumn("bucket", _bucket(place, bounds))
     # the first row of each bucket: one pair of numbers a bucket
-    tops = {r["bucket"]: r["top"] for r in rows.groupBy("bucket").agg(F.max(F.struct("rank_id", (-F.col("tie").cast("decimal(20,0)")).alias("m"))).alias("top")).collect()}
+    tops = {r["bucket"]: r["top"] for r in rows.groupBy("bucket").agg(F.max(place).alias("top")).collect()}
     order = sorted(tops)
-    heads = [(int(tops[b]["rank_id"]), -int(tops[b]["m"]), order[(k + 1) % len(order)]) for k, b in enumerate(order)]  # behind the next higher bucket; the highest, behind the lowest
+    heads = [(int(tops[b]["rank_id"]), ~int(tops[b]["m"]), order[(k + 1) % len(order)]) for k, b in enumerate(order)]  # behind the next higher bucket; the highest, behind the lowest
     if not heads:
         return spark.createDataFrame([], OUT)
     first = spark.createDataFrame(heads, "rank_id long, tie long, behind int")

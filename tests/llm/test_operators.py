@@ -318,6 +318,25 @@ def test_lz_fingerprints(docs, rows, none):
     assert lz_fingerprint.fingerprint_documents(none).count() == 0
 
 
+def test_lz_buckets_of_one_id_of_many_rows(spark):
+    """Null and one id each hold a third of all rows: they are cut by a hash of the text, and the order stays whole."""
+    some = [(None if i < 100 else 7 if i < 200 else i - 150, f"text {i} " + "ab" * (i % 9)) for i in range(300)]
+    docs = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+    tie = {r["text"]: r["tie"] for r in docs.select("text", F.xxhash64("text").alias("tie")).collect()}
+    order = sorted(some, key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]]))
+    got = {(g["doc_id"], g["fingerprint"], g["edited_sha256"]) for g in lz_fingerprint.fingerprint_documents(docs).collect()}
+    want = set()
+    for k, (i, text) in enumerate(order):
+        following, n = order[(k + 1) % len(order)][1], len(text)
+        want.add((i, lz_fingerprint.fingerprint(text), hashlib.sha256((text[: n - n // 3] + following[: n // 3]).encode()).hexdigest()))
+    assert got == want
+    bounds = lz_fingerprint._bounds([-5, 7, 7, 7, 7, 9])
+    assert bounds == sorted(bounds) and [b[0] for b in bounds] == [-5, 7, 7, 7, 7, 9]
+    placed = docs.withColumn("bucket", lz_fingerprint._bucket(F.struct(F.coalesce("doc_id", F.lit(lz_fingerprint.LOWEST)).alias("rank_id"), F.bitwise_not(F.xxhash64("text")).alias("m")), bounds))
+    sevens = placed.filter("doc_id = 7").groupBy("bucket").count().collect()
+    assert len(sevens) == 4 and max(r["count"] for r in sevens) < 50
+
+
 def plain_rules(text):
     words, text = WORD.findall(text or ""), text or ""
     lines = [x for x in text.split("\n") if WORD.search(x)]
