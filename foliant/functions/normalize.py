@@ -112,3 +112,9 @@ def ocr_language(country: Column) -> Column:
 
 def data_url(content: Column, mime: Column) -> Column:
     return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.regexp_replace(F.base64(content), r"\s", ""))
+
+
+def session(path: Column) -> Column:
+    """A name for the requests of one file: the front of its own without the ending, and a part that no other has."""
+    stem = F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    return F.concat(F.lit("ocr-"), F.substring(stem, 1, 40), F.lit("-"), F.replace(F.uuid(), F.lit("-"), F.lit("")))
